@@ -31,16 +31,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     ``spark.checkpoint.dir`` names that folder. Only where it is unset and the
     master is local (as in tests) a temporary folder is used.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        told = sc.getConf().get("spark.checkpoint.dir", None)
-        if told is None and not (sc.master or "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="refinery-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    sc = spark.sparkContext
+    set_to = sc._jsc.sc().getCheckpointDir()
+    if set_to.isDefined():
+        return set_to.get()
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if told is None and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="refinery-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -98,7 +105,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(kind: str, base: np.uint64, n: int) -> np.ndarray:
     have = _POWERS.get(kind)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16)
+        size = max(n + n // 4, 1 << 16)
         out = np.full(size, base, np.uint64)
         out[0] = 1
         if size > 4_000_000:  # not worth keeping for one very long text

@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import token_counts
+from .common import WORD, checkpoint, held_out, shared_folder, table
+from .decontam import contaminated
+from .langid import identify, train
 from .mix import mix
 from .shard import shard_by_bytes
 from .simhash import near_duplicates
+from .topk import top_k
+
+#: Folder of public vocabularies, and the token pattern of the one used.
+TOKENIZERS = "/opt/tokenizers"
+#: Fixed value: how this vocabulary's texts are split before merging.
+BPE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=0.8, radius=11)
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +31,10 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op7_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = shard_by_bytes(table(spark, sf_dir, "documents"), shards=24)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -25,5 +44,57 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_dedup, op7_shard_documents, op8_mix_sources)}
+def op9_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.filter(~held_out()))
+    return identify(docs.select("doc_id", "text", held_out().alias("held_out")), model, keep=["held_out"]).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_token_rollup(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """The life of a ledger: two tokenizer versions come, one count is revised, one version goes.
+
+    Estimates are inserted for all documents and revised to exact counts; an
+    older version is inserted and deleted again, document by document; batches
+    are committed twice; the ledger is compacted. What stays is exact.
+    """
+    docs = table(spark, sf_dir, "documents")
+    with open(f"{tokenizers}/byte_bpe_50k.tiktoken", "rb") as f:
+        counter = token_counts.bpe(f.read(), BPE_PATTERN)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    plain = docs.select(
+        "source",
+        "lang",
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("words"),
+        F.coalesce(F.ceil(F.length("text") / 4), F.lit(0)).cast("long").alias("guess"),
+        size.alias("bytes"),
+    )
+    plain = checkpoint(plain)
+    version = lambda name, tokens: plain.select("source", "lang", F.lit(name).alias("tokenizer"), F.col(tokens).alias("tokens"), "bytes")
+    exact = checkpoint(token_counts.count_tokens(docs, counter, "byte_bpe_50k-1"))
+    ledger = token_counts.Rollup(spark, f"{shared_folder(spark)}/token-ledger-{uuid.uuid4().hex}")
+    ledger.commit("1-insert-words", token_counts.inserted(version("words-1", "words")))
+    ledger.commit("2-insert-guess", token_counts.inserted(version("byte_bpe_50k-1", "guess")))
+    ledger.commit("3-insert-old", token_counts.inserted(version("byte_bpe_50k-0", "guess")))
+    revision = token_counts.revised(version("byte_bpe_50k-1", "guess"), exact)
+    ledger.commit("4-revise", revision)
+    ledger.compact("5-compacted")
+    ledger.commit("4-revise", revision)  # again: no change
+    ledger.commit("6-delete-old", token_counts.deleted(version("byte_bpe_50k-0", "guess")))
+    out = checkpoint(ledger.totals())
+    ledger.drop()
+    return out
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontaminate,
+        op3_simhash_dedup,
+        op6_topk_search,
+        op7_shard_documents,
+        op8_mix_sources,
+        op9_identify_language,
+        op10_token_rollup,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
