@@ -1,10 +1,14 @@
-"""Connected components of a large sparse graph, by minimum labels and pointer jumping.
+"""Connected components of a large sparse graph, by randomised contraction.
 
-Each round gives a node the smallest label among its own, its neighbours' and
-its label's label. The joins are on narrow rows (Spark splits a hot node's
-rows), the minima combine before the shuffle, and every round ends in a
-reliable checkpoint, so lineage stays short and a lost executor costs one
-round at most. Rounds grow with the logarithm of the longest chain.
+In each round every node takes the name of the neighbour, or of itself, that
+is first in a random order drawn for the round; edges take the new names, and
+those that have become loops or repetitions go. Connected nodes stay
+connected, and a constant share of names disappears each time, on chains and
+stars alike, so rounds grow with the logarithm of the graph and all rounds
+together handle few more rows than the first. The names of the rounds are
+composed backwards at the end. The joins are on narrow rows (Spark splits a
+hot node's rows), the minima combine before the shuffle, and each round ends
+in a reliable checkpoint, so a lost executor costs one round at most.
 """
 
 from __future__ import annotations
@@ -16,19 +20,26 @@ from .common import checkpoint
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label (smallest node that can be reached) for every node of ``edges`` (a, b: long)."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = checkpoint(both.filter(F.col("a") != F.col("b")).distinct())
-    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")))
-    while True:
-        near = both.join(labels, both.b == labels.node).select(F.col("a").alias("node"), "label")
-        hop = labels.alias("x").join(labels.alias("y"), F.col("x.label") == F.col("y.node")).select(F.col("x.node"), F.col("y.label"))
-        # the label's own node learns of smaller labels as well, so that whole trees are hooked at once
-        hook = both.join(labels, both.b == labels.node).select("a", F.col("label").alias("seen"))
-        hook = hook.join(labels.withColumnRenamed("label", "root"), F.col("a") == F.col("node")).filter(F.col("seen") < F.col("root")).select(F.col("root").alias("node"), F.col("seen").alias("label"))
-        best = near.unionByName(hop).unionByName(hook).unionByName(labels).groupBy("node").agg(F.min("label").alias("new"))
-        after = checkpoint(best.join(labels, "node").select("node", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("changed")))
-        moved = after.filter("changed").limit(1).count()
-        labels = after.select("node", "label")
-        if not moved:
-            return labels
+    """node, label for every node of ``edges`` (a, b: long): nodes have one label if and only if they are connected."""
+    edges = checkpoint(_tidy(edges))
+    rounds: list[DataFrame] = []
+    while edges.limit(1).count():
+        order = lambda c, k=len(rounds): F.struct(F.xxhash64(c, F.lit(k)).alias("at"), F.col(c).alias("node"))
+        both = edges.select("a", order("b").alias("near")).unionByName(edges.select(F.col("b").alias("a"), order("a").alias("near")))
+        first = both.groupBy("a").agg(F.min("near").alias("near"))
+        names = checkpoint(first.select(F.col("a").alias("node"), F.least("near", order("a"))["node"].alias("label")))
+        rounds.append(names)
+        left = edges.join(names, F.col("a") == F.col("node")).select(F.col("label").alias("a"), "b")
+        right = left.join(names, F.col("b") == F.col("node")).select("a", F.col("label").alias("b"))
+        edges = checkpoint(_tidy(right))
+    if not rounds:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels = rounds.pop()
+    while rounds:
+        later = labels.select(F.col("node").alias("label"), F.col("label").alias("last"))
+        labels = rounds.pop().join(later, "label", "left").select("node", F.coalesce("last", "label").alias("label"))
+    return checkpoint(labels)
+
+
+def _tidy(edges: DataFrame) -> DataFrame:
+    return edges.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

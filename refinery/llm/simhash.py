@@ -61,16 +61,18 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, keep: list[str] | None = None) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, the columns of ``keep``, and fp (the fingerprint as a signed long) of every row."""
     tune(docs.sparkSession)
+    names = ["doc_id", *(keep or [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t, shingle) for t in b.column(len(names)).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(fps)], [*names, "fp"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(f"`{n}` {kinds[n]}" for n in names)
+    return docs.select(*names, "text").mapInArrow(run, f"{schema}, fp long")
 
 
 def ball(radius: int, bits: int = 64) -> np.ndarray:
@@ -207,12 +209,13 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, blocks: int | None = None
     return met
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id that can be reached over links) of every row."""
-    rows = checkpoint(fingerprints(docs, shingle))
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, the columns of ``keep``, fp, component_id (smallest doc_id that can be reached over links) of every row."""
+    rows = checkpoint(fingerprints(docs, shingle, keep))
     labels = components(fingerprint_links(rows, radius))
     # a component's name: first the smallest id of a fingerprint, then of all its fingerprints
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = checkpoint(least.join(labels, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("label", "fp").alias("label"), "least"))
     best = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    return rows.join(named.select("fp", "label"), "fp").join(best, "label").select("doc_id", "fp", "component_id")
+    owners = named.join(best, "label").select("fp", "component_id")
+    return rows.join(owners, "fp").select("doc_id", *(keep or []), "fp", "component_id")
