@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import token_counts
+from . import html_extract, lm_score, token_counts, toxicity
 from .common import WORD, checkpoint, held_out, shared_folder, table
 from .decontam import contaminated
 from .langid import identify, train
@@ -26,11 +26,26 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=0.8, radius=11)
 
 
+def op2_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled as of quality, as far as labels may be learnt from; background: all."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return lm_score.score(docs, lm_score.train(docs, labels.filter((F.col("quality") == 1) & ~held_out())))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -89,7 +104,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_decontaminate,
+        op2_extract_text,
         op3_simhash_dedup,
+        op4_lm_score,
+        op5_toxicity,
         op6_topk_search,
         op7_shard_documents,
         op8_mix_sources,
