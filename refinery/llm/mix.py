@@ -26,6 +26,8 @@ from .common import WORD, bounded_rows, checkpoint
 
 #: Most sources; their weights are ranks in one global order.
 MOST_SOURCES = 1_000_000
+#: Most sources whose plan is sent to every task; more are joined.
+MOST_SENT = 50_000
 CELLS = 4096
 #: Copies in the last cell that the driver puts in order itself.
 MOST_LAST = 20_000
@@ -60,57 +62,86 @@ def shuffle_key(seed: str, doc_id: str = "doc_id") -> F.Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def keyed(docs: DataFrame, seed: str) -> DataFrame:
+    """Adds size in words and h, the place in the shuffled order."""
+    return docs.withColumns({"_size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "_h": shuffle_key(seed)})
+
+
+class Queues:
+    """The sources' queues, and where the budget cuts them.
+
+    ``queued`` has doc_id, size, source, rank, h and upto (tokens of the source up to the row's end) of every row;
+    ``plan`` has rank, source, source_size and target of every source.
+    """
+
+    def __init__(self, docs: DataFrame, weights=weights_123, most_epochs: int = 3, seed: str = "mix-"):
+        spark = docs.sparkSession
+        self.most_epochs = most_epochs
+        rows = checkpoint(keyed(docs.select("doc_id", "source", "text"), seed).select("doc_id", F.col("source").alias("own"), F.col("_size").alias("size"), F.col("_h").alias("h")))
+        per_source = rows.groupBy(F.col("own").alias("source")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+        found = bounded_rows(per_source, MOST_SOURCES, "sources")
+        found.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-32-be", "surrogatepass")))
+        sizes = [(r.source, r.source_size) for r in found]
+        wanted = targets(sizes, weights([s for s, _ in sizes]), float(most_epochs))
+        total, n = sum(s for _, s in sizes), sum(r.n for r in found)
+        plan = spark.createDataFrame(
+            [(i, s, z, t) for i, ((s, z), t) in enumerate(zip(sizes, wanted, strict=True))],
+            "rank int, source string, source_size long, target double",
+        )
+        self.plan = plan if len(sizes) > MOST_SENT else F.broadcast(plan)
+        # ranges of the shuffle key: some 4000 rows of the whole table each, so a hot source's range stays small
+        bits = min(20, max(8, (n // 4000).bit_length()))
+        ranged = rows.join(self.plan, rows.own.eqNullSafe(self.plan.source)).withColumn("range", F.shiftright("h", 60 - bits).cast("int"))
+        sums = ranged.groupBy("rank", "range").agg(F.sum("size").alias("part"))
+        before = Window.partitionBy("rank").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.select("rank", "range", F.coalesce(F.sum("part").over(before), F.lit(0)).alias("base"))
+        inside = Window.partitionBy("rank", "range").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+        self.queued = checkpoint(
+            ranged.join(sums, ["rank", "range"])
+            .withColumn("upto", F.col("base") + F.sum("size").over(inside))
+            .select("doc_id", "size", F.col("own").alias("source"), "source_size", "target", "rank", "h", "upto")
+        )
+        live = self.queued.filter((F.col("size") > 0) & (F.col("target") > 0))
+        ends = F.explode(F.array(*(F.struct(self._finish(e).alias("finish")) for e in range(most_epochs))))
+        copies = live.select("size", "rank", "upto", ends.alias("copy")).select("size", "rank", "upto", "copy.finish")
+        high = max((most_epochs * z / t for (_, z), t in zip(sizes, wanted, strict=True) if t > 0), default=1.0)
+        self.last = _cut(copies, total, high)
+
+    def _finish(self, epoch: int) -> F.Column:
+        """Virtual finish time of a copy: tokens of the source up to its end, over the target."""
+        return (F.lit(epoch).cast("long") * F.col("source_size") + F.col("upto")).cast("double") / F.col("target")
+
+    def takes(self, epoch: int) -> F.Column:
+        """Whether the budget reaches a row's copy."""
+        if self.last is None:
+            return F.lit(False)
+        mark = F.struct(F.lit(self.last[0]).cast("double"), F.lit(self.last[1]).cast("int"), F.lit(self.last[2]).cast("long"))
+        return (F.col("size") > 0) & (F.col("target") > 0) & (F.struct(self._finish(epoch), F.col("rank"), F.col("upto")) <= mark)
+
+
 def mix(docs: DataFrame, weights=weights_123, most_epochs: int = 3, seed: str = "mix-") -> DataFrame:
     """doc_id, size, source, source_size, target, taken of every row of ``docs``."""
-    spark = docs.sparkSession
-    rows = checkpoint(
-        docs.select(
-            F.col("doc_id").alias("doc_id"),
-            F.col("source").alias("source"),
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            shuffle_key(seed).alias("h"),
-        )
-    )
-    per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    found = bounded_rows(per_source, MOST_SOURCES, "sources")
-    found.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-32-be", "surrogatepass")))
-    sizes = [(r.source, r.source_size) for r in found]
-    wanted = targets(sizes, weights([s for s, _ in sizes]), float(most_epochs))
-    total = sum(s for _, s in sizes)
-    n = sum(r.n for r in found)
-    plan = spark.createDataFrame(
-        [(i, s, z, t) for i, ((s, z), t) in enumerate(zip(sizes, wanted, strict=True))],
-        "rank int, source string, source_size long, target double",
-    )
-    small = plan if len(sizes) > 50_000 else F.broadcast(plan)
-    # ranges of the shuffle key: some 4000 rows of the whole table each, so a hot source's range stays small
-    bits = min(20, max(8, (n // 4000).bit_length()))
-    own = rows.withColumnRenamed("source", "own")
-    ranged = own.join(small, own.own.eqNullSafe(small.source)).withColumn("range", F.shiftright("h", 60 - bits).cast("int"))
-    sums = ranged.groupBy("rank", "range").agg(F.sum("size").alias("part"))
-    before = Window.partitionBy("rank").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("rank", "range", F.coalesce(F.sum("part").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("rank", "range").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    queued = checkpoint(
-        ranged.join(sums, ["rank", "range"])
-        .withColumn("upto", F.col("base") + F.sum("size").over(inside))
-        .select("doc_id", "size", "source", "source_size", "target", "rank", "h", "upto")
-    )
-    # finish time of copy e: tokens of the source up to its end, over the target
-    finish = lambda e: (F.lit(e).cast("long") * F.col("source_size") + F.col("upto")).cast("double") / F.col("target")
-    live = queued.filter((F.col("size") > 0) & (F.col("target") > 0))
-    copies = live.select("size", "rank", "h", "doc_id", "upto", F.explode(F.array(*(F.struct(F.lit(e).alias("epoch"), finish(e).alias("finish")) for e in range(most_epochs)))).alias("copy")).select("size", "rank", "h", "doc_id", "upto", "copy.*")
-    high = max((most_epochs * z / t for (_, z), t in zip(sizes, wanted, strict=True) if t > 0), default=1.0)
-    last = _cut(copies, total, high)
-    if last is None:
-        taken = F.lit(0).cast("long")
-    else:
-        mark = F.struct(F.lit(last[0]).cast("double"), F.lit(last[1]).cast("int"), F.lit(last[2]).cast("long"))
-        taken = F.lit(0).cast("long")
-        for e in range(most_epochs):
-            key = F.struct(finish(e), F.col("rank"), F.col("upto"))
-            taken = taken + F.when((F.col("size") > 0) & (F.col("target") > 0) & (key <= mark), F.col("size")).otherwise(F.lit(0))
-    return queued.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"))
+    q = Queues(docs, weights, most_epochs, seed)
+    taken = sum((F.when(q.takes(e), F.col("size")).otherwise(F.lit(0)) for e in range(most_epochs)), F.lit(0))
+    return q.queued.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def take(docs: DataFrame, weights=weights_123, most_epochs: int = 3, seed: str = "mix-") -> DataFrame:
+    """``docs`` with every row as often as the mix takes it; all columns stay.
+
+    What is taken of a source in one pass is a beginning of its shuffled order, so each source has one last
+    key for each pass, and rows are compared with those: texts are not shuffled. Rows with equal keys
+    (equal id and size) are taken together.
+    """
+    q = Queues(docs, weights, most_epochs, seed)
+    key = lambda h, size: F.struct(F.col(h).alias("h"), F.col("doc_id").alias("doc_id"), F.col(size).alias("size"))
+    lasts = q.queued.groupBy("rank").agg(*(F.max(F.when(q.takes(e), key("h", "size"))).alias(f"last{e}") for e in range(most_epochs)))
+    marks = checkpoint(lasts.join(q.plan, "rank").select(F.col("source").alias("_source"), *(F.col(f"last{e}").alias(f"_last{e}") for e in range(most_epochs))))
+    if marks.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        marks = F.broadcast(marks)
+    rows = keyed(docs, seed).join(marks, F.col("source").eqNullSafe(F.col("_source")))
+    copies = sum((F.when((F.col("_size") > 0) & (key("_h", "_size") <= F.col(f"_last{e}")), 1).otherwise(0) for e in range(most_epochs)), F.lit(0))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(most_epochs)))).filter(F.col("_copy") <= copies).select(*docs.columns)
 
 
 def _cut(copies: DataFrame, budget: int, high: float) -> tuple[float, int, int] | None:

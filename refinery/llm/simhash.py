@@ -219,3 +219,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, keep: li
     best = named.groupBy("label").agg(F.min("least").alias("component_id"))
     owners = named.join(best, "label").select("fp", "component_id")
     return rows.join(owners, "fp").select("doc_id", *(keep or []), "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the first by doc_id, then by text; all columns stay.
+
+    Only ids and hashes are grouped and shuffled. Rows that are equal in id and text count as one document.
+    """
+    found = checkpoint(near_duplicates(docs.select("doc_id", F.xxhash64("text").alias("own"), "text"), shingle, radius, ["own"]))
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "own")).alias("first"))
+    kept = checkpoint(first.select(F.col("first.doc_id").alias("_id"), F.col("first.own").alias("_own")).distinct())
+    rows = docs.withColumn("_row", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_own"))
+    rows = rows.join(kept.hint("shuffle_hash"), same, "left_semi")  # texts are shuffled once and not sorted
+    if found.groupBy("doc_id", "own").count().filter("count > 1").limit(1).count():
+        rows = rows.dropDuplicates(["doc_id", "_row"])
+    return rows.drop("_row")
