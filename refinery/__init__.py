@@ -1,0 +1,3 @@
+"""Reproducible tabular data cleaning on Spark: profile, decide, fit, replay."""
+
+__version__ = "0.1.0"
