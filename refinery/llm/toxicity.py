@@ -38,6 +38,8 @@ STEMS = (3, 4, 5, 6, 8)
 MOST_FEATURES = 4096
 #: Least likelihood ratio statistic, and least log odds, of a mined feature.
 LEAST_G2, LEAST_ODDS = 11.0, 2.0
+#: Least log odds of what voters look for; the classifier weighs weaker features as well.
+VOTER_ODDS = 3.5
 GROUPS = 8
 
 
@@ -86,7 +88,7 @@ class Features:
 
 def votes(features: Features, row: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
     """Texts x voters: lexicon and pattern voters by kind and group, then density voters."""
-    toxic = features.odds > 0
+    toxic = features.odds >= VOTER_ODDS
     group = features.kinds * GROUPS + (features.hashes % np.uint64(GROUPS)).astype(np.int64)
     m = (len(STEMS) + 1) * GROUPS
     out = np.zeros((n, m + 3), bool)
@@ -108,15 +110,16 @@ class LabelModel:
         p = np.where(x.any(axis=1), 0.9, 0.05)
         self.prior = float(np.clip(prior, 0.01, 0.99))
         self.weight = np.ones(x.shape[1])
-        for _ in range(rounds):
-            a, b = p.sum(), (1 - p).sum()
-            self.fire = np.stack([((1 - p) @ x + 0.5) / (b + 1.0), (p @ x + 0.5) / (a + 1.0)])
-            centred = x - p[:, None] * self.fire[1] - (1 - p)[:, None] * self.fire[0]
+        for k in range(rounds):
+            # shares of classes at first; then each text in its likelier class, since shares show up as correlations
+            c = p if k < rounds // 2 else (p >= 0.5).astype(np.float64)
+            self.fire = np.stack([((1 - c) @ x + 0.5) / ((1 - c).sum() + 1.0), (c @ x + 0.5) / (c.sum() + 1.0)])
+            centred = x - c[:, None] * self.fire[1] - (1 - c)[:, None] * self.fire[0]
             cov = centred.T @ centred / max(1, len(x))
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
             self.correlation = cov / np.outer(sd, sd)
             self.weight = 1.0 / np.maximum(1.0, np.abs(self.correlation).sum(axis=1))
-            self.prior = float(np.clip(p.mean(), 0.01, 0.99))
+            self.prior = float(np.clip(c.mean(), 0.01, 0.99))
             p = self._posterior(x)
 
     def _posterior(self, x: np.ndarray) -> np.ndarray:
@@ -129,7 +132,7 @@ class LabelModel:
         return self._posterior(v[:, self.use].astype(np.float64))
 
 
-def logistic(row: np.ndarray, feature: np.ndarray, y: np.ndarray, m: int, rounds: int = 300, ridge: float = 0.5) -> tuple[np.ndarray, float]:
+def logistic(row: np.ndarray, feature: np.ndarray, y: np.ndarray, m: int, rounds: int = 1000, ridge: float = 0.5) -> tuple[np.ndarray, float]:
     """Weights and offset that fit probabilities y, by accelerated gradient descent; features are 0 or 1."""
     n = len(y)
     w, b = np.zeros(m), 0.0
@@ -197,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_clean
     odds = F.log((t + 0.5) / (n1 + 1.0)) - F.log((c + 0.5) / (n0 + 1.0))
     picked = counted.withColumn("g2", g2).withColumn("odds", odds).filter((F.col("g2") >= LEAST_G2) & (F.abs("odds") >= LEAST_ODDS))
     best = picked.orderBy(F.desc("g2"), "h").limit(MOST_FEATURES).collect()
-    if not any(r.odds > 0 for r in best):
+    if not any(r.odds >= VOTER_ODDS for r in best):
         return Model(nothing, np.zeros(0), 0.0)
     features = Features(np.array([r.h for r in best], np.int64).view(np.uint64), np.array([r.kind for r in best], np.int8), np.array([r.odds for r in best]))
 
