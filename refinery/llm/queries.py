@@ -115,4 +115,33 @@ QUERIES = {
         op10_token_rollup,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+#: The others have no SQL form (trained models, xxHash64, tree and partition heuristics); tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op6_topk_search": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5""",
+    "op8_mix_sources": r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    CAST('0x' || substr(md5('mix-' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS place FROM d GROUP BY source),
+w AS (SELECT *, 1 + place % 3 AS w, CAST(3 * source_size AS DOUBLE) AS cap, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s),
+l AS (
+  SELECT *, (total - (sum(cap) OVER (ORDER BY cap / w, place ROWS UNBOUNDED PRECEDING) - cap))
+    / sum(w) OVER (ORDER BY cap / w, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT source, source_size, place, total, round(least(cap, w * coalesce((SELECT arg_min(level, cap / w) FROM l WHERE cap / w > level), 1e300)), 6) AS target FROM l),
+q AS (
+  SELECT d.doc_id, size, source_size, target, total, place, CAST(sum(size) OVER (PARTITION BY place ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT doc_id, size, place, upto, total, CAST(e * source_size + upto AS DOUBLE) / target AS finish FROM q, range(3) r(e) WHERE size > 0 AND target > 0),
+k AS (SELECT *, sum(size) OVER (ORDER BY finish, place, upto ROWS UNBOUNDED PRECEDING) AS run FROM c),
+m AS (SELECT doc_id, place, upto, CAST(sum(size) AS BIGINT) AS taken FROM k WHERE run <= total GROUP BY ALL)
+SELECT q.doc_id, size, source_size, target, coalesce(taken, 0) AS taken
+FROM q LEFT JOIN m ON q.doc_id = m.doc_id AND q.place = m.place AND q.upto = m.upto""",
+}
