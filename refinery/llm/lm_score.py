@@ -110,8 +110,8 @@ def train(docs: DataFrame, target: DataFrame) -> Model:
     """Background from all rows of ``docs`` (doc_id, text), target from those whose doc_id is in ``target``."""
     tune(docs.sparkSession)
     marks = target.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().withColumn("in_target", F.lit(True))
-    # by a size check of its own, Spark sends the ids to all tasks or shuffles both sides
-    marked = docs.select("doc_id", "text").join(marks, "doc_id", "left").select("text", F.coalesce("in_target", F.lit(False)).alias("in_target"))
+    # texts are shuffled once and not sorted, at any number of marks, so disk grows with the input only
+    marked = docs.select("doc_id", "text").join(marks.hint("shuffle_hash"), "doc_id", "left").select("text", F.coalesce("in_target", F.lit(False)).alias("in_target"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
