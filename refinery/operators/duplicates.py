@@ -37,6 +37,8 @@ def collisions(df: DataFrame, key: str) -> DataFrame:
 
 def differing_columns(df: DataFrame, key: str, values: list, others: list[str]) -> dict:
     """For each value of the key, the columns in which its rows differ; missing is a value of its own."""
+    if not others:
+        return {v: [] for v in values}
     text = lambda c: F.coalesce(X.named(c).cast("string"), F.lit("\x00missing"))
     some = df.filter(X.named(key).isin(values)).groupBy(X.named(key).alias("_key"))
     # two different values have a smallest and a largest one that differ: no distinct count is needed

@@ -50,8 +50,10 @@ def _put(df: DataFrame, column: str, value: Column) -> DataFrame:
 @step
 def rename(df: DataFrame, names: list[str]) -> DataFrame:
     """All columns get new names by position, which also parts equal or case-equal names."""
-    rest = [c for c in df.columns if c == ROW]
-    return df.toDF(*names, *rest) if len(df.columns) == len(names) + len(rest) else df
+    if sum(c != ROW for c in df.columns) != len(names):
+        return df
+    new = iter(names)
+    return df.toDF(*(c if c == ROW else next(new) for c in df.columns))
 
 
 @step
