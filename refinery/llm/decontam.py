@@ -31,12 +31,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, batch_bytes, hash_spans, roll, spans, tune
+from .common import roll, tune
 from .simhash import ball
+from .words import word_hashes
 
 SHINGLE = 5
 #: Words more or fewer than the item that a matching window may have.
@@ -46,15 +46,6 @@ MOST_ITEMS, MOST_BYTES = 20_000, 16_000_000
 CHUNK = 1 << 14
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts, and each word's text number."""
-    texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    # a separator after each text keeps a word from running on into the next
-    raw, offs = batch_bytes(pc.binary_join_element_wise(texts, pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string())))
-    starts, ends, row = spans(raw, offs, WORD_BYTES)
-    return hash_spans(raw, starts, ends), row
-
-
 def window_prints(h: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(first start, SimHash of every window from there on for each size), some ``CHUNK`` starts at a time.
 

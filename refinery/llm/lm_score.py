@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import tune
-from .decontam import word_hashes
+from .words import word_hashes
 
 VOCABULARY = 32_768
 CLASSES = 1024

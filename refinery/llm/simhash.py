@@ -31,8 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, tune
+from .common import checkpoint, mix64, roll, tune
 from .components import components
+from .words import word_hashes
 
 SEED = 42
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -122,8 +123,11 @@ class _Union:
         return True
 
 
-def links_in_word(fps: np.ndarray, word: int, radius: int, blocks: int, by_word: dict[int, np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of the links whose shared variant has this parity word."""
+def links_in_word(fps: np.ndarray, word: int, radius: int, blocks: int, by_word: dict[int, np.ndarray], small: int = 0) -> list[tuple[int, int]]:
+    """A spanning forest of the links whose shared variant has this parity word.
+
+    Trees of up to ``small`` fingerprints give all their pairs within the radius, for callers that verify links one by one.
+    """
     shift = parity(fps, blocks) ^ np.int32(word)  # the masks that lead here
     order = np.argsort(shift, kind="stable")
     fps, shift = fps[order], shift[order]
@@ -157,6 +161,13 @@ def links_in_word(fps: np.ndarray, word: int, radius: int, blocks: int, by_word:
         for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
             if found.join(i, j):
                 out.append((int(fps[i]), int(fps[j])))
+    if small and out:
+        trees: dict[int, list[int]] = {}
+        for i in range(len(fps)):
+            trees.setdefault(found.find(i), []).append(i)
+        for some in trees.values():
+            if 2 < len(some) <= small:
+                out += [(int(fps[i]), int(fps[j])) for n, i in enumerate(some) for j in some[n + 1 :] if int(fps[i] ^ fps[j]).bit_count() <= radius]
     return out
 
 
@@ -165,7 +176,7 @@ def blocks_for(n: int) -> int:
     return min(30, max(8, (n // 64).bit_length()))
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 4, blocks: int | None = None) -> DataFrame:
+def fingerprint_links(fps: DataFrame, radius: int = 4, blocks: int | None = None, small: int = 0) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that connect all within the radius."""
     distinct = checkpoint(fps.select("fp").distinct())
     k = blocks or blocks_for(distinct.count())
@@ -185,7 +196,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, blocks: int | None = None
         now = None
 
         def done():
-            found = links_in_word(np.concatenate(held), now, radius, k, by_word) if sum(map(len, held)) > 1 else []
+            found = links_in_word(np.concatenate(held), now, radius, k, by_word, small) if sum(map(len, held)) > 1 else []
             pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
@@ -221,17 +232,96 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, keep: li
     return rows.join(owners, "fp").select("doc_id", *(keep or []), "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
+
+# keeping one row of each group of texts whose five-word shingles are alike
+
+
+def word_set_prints(texts: pa.Array, tables: int) -> np.ndarray:
+    """Texts x tables: SimHash of each text's set of words, with hashes of its own for each table."""
+    h, row = word_hashes(texts)
+    cuts = np.searchsorted(row, np.arange(len(texts) + 1))
+    out = np.zeros((len(texts), tables), np.uint64)
+    salts = mix64(np.arange(1, tables + 1, dtype=np.uint64))
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        words = np.unique(h[a:b])
+        for k in range(tables if len(words) else 0):
+            ones = np.zeros(64, np.int64)
+            for at in range(0, len(words), CHUNK):
+                ones += np.unpackbits(mix64(words[at : at + CHUNK] ^ salts[k]).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+            out[i, k] = np.packbits(2 * ones > len(words)).view(np.uint64)[0]
+    return out
+
+
+def alike(a: str | None, b: str | None, shingle: int) -> float:
+    """Jaccard similarity of two texts' sets of word shingles; texts without words are alike."""
+    h, row = word_hashes(pa.array([a, b], pa.string()))
+    x, y = (h[row == i] for i in (0, 1))
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    if min(len(x), len(y)) < shingle:
+        return float(len(x) == len(y) and bool((x == y).all()))
+    x, y = np.unique(roll(x, shingle)), np.unique(roll(y, shingle))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
+def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 4, tables: int = 4, small: int = 16) -> DataFrame:
+    """a, b: links between text hashes (column own) whose texts' shingles are exactly verified to be alike.
+
+    Texts with a shingle similarity of 0.8 share nearly all their words, so fingerprints of word sets are a few
+    bits apart where those of five-word shingles are ten; in one of four tables nearly all such pairs are within
+    radius 4. Groups of up to ``small`` have all their pairs verified, larger ones a spanning forest per parity word.
+    """
+    tune(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints = word_set_prints(b.column(1), tables).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(prints[:, k].copy()) for k in range(tables))], ["own", *(f"fp{k}" for k in range(tables))])
+
+    schema = "own long, " + ", ".join(f"fp{k} long" for k in range(tables))
+    prints = checkpoint(docs.select("own", "text").mapInArrow(run, schema).dropDuplicates(["own"]))
+    found = None
+    for k in range(tables):
+        first = checkpoint(prints.groupBy(F.col(f"fp{k}").alias("fp")).agg(F.min("own").alias("own"), F.count(F.lit(1)).alias("n")))
+        links = fingerprint_links(first, radius, small=small)
+        x, y = first.select(F.col("fp").alias("a"), F.col("own").alias("own_a")), first.select(F.col("fp").alias("b"), F.col("own").alias("own_b"))
+        links = links.join(x, "a").join(y, "b").select(F.col("own_a").alias("a"), F.col("own_b").alias("b"))
+        same = prints.join(first.filter("n > 1").select(F.col("fp").alias(f"fp{k}"), F.col("own").alias("first")), f"fp{k}").filter("own != first")
+        links = checkpoint(links.unionByName(same.select(F.col("first").alias("a"), F.col("own").alias("b"))))
+        found = links if found is None else found.unionByName(links)
+    edges = checkpoint(found.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    # only texts that have a link are shuffled by their hash
+    held = docs.select("own", "text").join(nodes.hint("shuffle_hash"), F.col("own") == F.col("node"), "left_semi").dropDuplicates(["own"])
+    held = checkpoint(held)
+    pairs = edges.join(held.select(F.col("own").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("own").alias("b"), F.col("text").alias("text_b")), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [alike(x, y, shingle) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 4, tables: int = 4) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the first by doc_id, then by text; all columns stay.
 
-    Only ids and hashes are grouped and shuffled. Rows that are equal in id and text count as one document.
+    Rows that are equal in id and text count as one document.
     """
-    found = checkpoint(near_duplicates(docs.select("doc_id", F.xxhash64("text").alias("own"), "text"), shingle, radius, ["own"]))
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "own")).alias("first"))
-    kept = checkpoint(first.select(F.col("first.doc_id").alias("_id"), F.col("first.own").alias("_own")).distinct())
-    rows = docs.withColumn("_row", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_own"))
-    rows = rows.join(kept.hint("shuffle_hash"), same, "left_semi")  # texts are shuffled once and not sorted
-    if found.groupBy("doc_id", "own").count().filter("count > 1").limit(1).count():
-        rows = rows.dropDuplicates(["doc_id", "_row"])
-    return rows.drop("_row")
+    marked = docs.withColumn("own", F.xxhash64("text")) if "own" not in docs.columns else docs.withColumnRenamed("own", "_kept_own").withColumn("own", F.xxhash64("text"))
+    labels = components(similar_texts(marked.select("own", "text"), shingle, least, radius, tables))
+    ids = checkpoint(marked.select("doc_id", "own"))
+    # the first row of each text, then of each group of texts: hot texts combine before the shuffle
+    row = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("own").alias("own"))
+    texts = ids.groupBy("own").agg(F.min(row).alias("row"))
+    grouped = texts.join(labels, F.col("own") == F.col("node"), "left").groupBy(F.coalesce("label", "own").alias("label")).agg(F.min("row").alias("row"))
+    kept = checkpoint(grouped.select(F.col("row.doc_id").alias("_id"), F.col("row.own").alias("_own")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("own") == F.col("_own"))
+    rows = marked.join(kept.hint("shuffle_hash"), same, "left_semi")  # texts are shuffled, not sorted
+    if ids.groupBy("doc_id", "own").count().filter("count > 1").limit(1).count():
+        rows = rows.dropDuplicates(["doc_id", "own"])
+    if "own" in docs.columns:
+        return rows.drop("own").withColumnRenamed("_kept_own", "own").select(*docs.columns)
+    return rows.select(*docs.columns)
