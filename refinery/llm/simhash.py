@@ -23,6 +23,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,10 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 CHUNK = 1 << 16
 #: Variants that a task sorts at a time.
 VARIANTS = 1 << 21
+#: Minima in a band, and the chance that a pair of just the least similarity shares no band.
+ROWS, MISS = 4, 1e-7
+#: Texts of each side that a task compares with one another.
+SLICE = 256
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -123,11 +128,8 @@ class _Union:
         return True
 
 
-def links_in_word(fps: np.ndarray, word: int, radius: int, blocks: int, by_word: dict[int, np.ndarray], small: int = 0) -> list[tuple[int, int]]:
-    """A spanning forest of the links whose shared variant has this parity word.
-
-    Trees of up to ``small`` fingerprints give all their pairs within the radius, for callers that verify links one by one.
-    """
+def links_in_word(fps: np.ndarray, word: int, radius: int, blocks: int, by_word: dict[int, np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the links whose shared variant has this parity word."""
     shift = parity(fps, blocks) ^ np.int32(word)  # the masks that lead here
     order = np.argsort(shift, kind="stable")
     fps, shift = fps[order], shift[order]
@@ -161,13 +163,6 @@ def links_in_word(fps: np.ndarray, word: int, radius: int, blocks: int, by_word:
         for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
             if found.join(i, j):
                 out.append((int(fps[i]), int(fps[j])))
-    if small and out:
-        trees: dict[int, list[int]] = {}
-        for i in range(len(fps)):
-            trees.setdefault(found.find(i), []).append(i)
-        for some in trees.values():
-            if 2 < len(some) <= small:
-                out += [(int(fps[i]), int(fps[j])) for n, i in enumerate(some) for j in some[n + 1 :] if int(fps[i] ^ fps[j]).bit_count() <= radius]
     return out
 
 
@@ -176,7 +171,7 @@ def blocks_for(n: int) -> int:
     return min(30, max(8, (n // 64).bit_length()))
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 4, blocks: int | None = None, small: int = 0) -> DataFrame:
+def fingerprint_links(fps: DataFrame, radius: int = 4, blocks: int | None = None) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that connect all within the radius."""
     distinct = checkpoint(fps.select("fp").distinct())
     k = blocks or blocks_for(distinct.count())
@@ -196,7 +191,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, blocks: int | None = None
         now = None
 
         def done():
-            found = links_in_word(np.concatenate(held), now, radius, k, by_word, small) if sum(map(len, held)) > 1 else []
+            found = links_in_word(np.concatenate(held), now, radius, k, by_word) if sum(map(len, held)) > 1 else []
             pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
@@ -236,19 +231,38 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, keep: li
 # keeping one row of each group of texts whose five-word shingles are alike
 
 
-def word_set_prints(texts: pa.Array, tables: int) -> np.ndarray:
-    """Texts x tables: SimHash of each text's set of words, with hashes of its own for each table."""
+def shingle_hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all word shingles of all texts, and the n + 1 offsets into them.
+
+    A text of fewer words is one shingle, alike only to the same words; texts without words are alike.
+    """
     h, row = word_hashes(texts)
     cuts = np.searchsorted(row, np.arange(len(texts) + 1))
-    out = np.zeros((len(texts), tables), np.uint64)
-    salts = mix64(np.arange(1, tables + 1, dtype=np.uint64))
-    for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        words = np.unique(h[a:b])
-        for k in range(tables if len(words) else 0):
-            ones = np.zeros(64, np.int64)
-            for at in range(0, len(words), CHUNK):
-                ones += np.unpackbits(mix64(words[at : at + CHUNK] ^ salts[k]).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
-            out[i, k] = np.packbits(2 * ones > len(words)).view(np.uint64)[0]
+    grams = roll(h, shingle)
+    own = row[: len(grams)]
+    whole = own == row[shingle - 1 :] if len(grams) else np.zeros(0, bool)
+    short = np.flatnonzero(np.diff(cuts) < shingle)
+    one = [int(roll(h[cuts[i] : cuts[i + 1]], int(cuts[i + 1] - cuts[i]))[0] ^ np.uint64(cuts[i + 1] - cuts[i])) if cuts[i] < cuts[i + 1] else 0 for i in short]
+    at = np.concatenate([own[whole], short])
+    order = np.argsort(at, kind="stable")
+    return np.concatenate([grams[whole], np.array(one, np.uint64)])[order], np.searchsorted(at[order], np.arange(len(texts) + 1))
+
+
+def bands_for(least: float, rows: int = ROWS) -> int:
+    """Bands of ``rows`` minima each, so that a pair of just ``least`` shares none with a chance of ``MISS`` at most."""
+    return math.ceil(math.log(MISS) / math.log1p(-(least**rows))) if least < 1 else 1
+
+
+def band_keys(texts: pa.Array, shingle: int, bands: int, rows: int = ROWS) -> np.ndarray:
+    """Texts x bands: hash of ``rows`` minima of the text's shingles, each minimum in an order of its own."""
+    g, first = shingle_hashes(texts, shingle)
+    out = np.zeros((len(texts), bands), np.uint64)
+    orders = mix64(np.arange(1, bands * rows + 1, dtype=np.uint64)) | np.uint64(1)
+    for k in range(bands if len(texts) else 0):
+        key = np.full(len(texts), k + 1, np.uint64)
+        for a in orders[k * rows : (k + 1) * rows]:
+            key = mix64(key * np.uint64(0x100000001B3) + np.minimum.reduceat(g * a, first[:-1]))
+        out[:, k] = key
     return out
 
 
@@ -265,36 +279,32 @@ def alike(a: str | None, b: str | None, shingle: int) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 4, tables: int = 4, small: int = 16) -> DataFrame:
-    """a, b: links between text hashes (column own) whose texts' shingles are exactly verified to be alike.
+def alike_across(label: np.ndarray, build: np.ndarray, texts: pa.Array, shingle: int, least: float) -> list[tuple[int, int]]:
+    """Labels that alike texts connect, one in ``build`` and one that is not, as a spanning forest; all such pairs are tried."""
+    g, first = shingle_hashes(texts, shingle)
+    sets = [np.unique(g[a:b]) for a, b in zip(first, first[1:], strict=False)]
+    left, right = np.flatnonzero(build), np.flatnonzero(~build)
+    if not len(left) or not len(right):
+        return []
+    flat = np.concatenate([sets[i] for i in right])
+    owner = np.repeat(np.arange(len(right)), [len(sets[i]) for i in right])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    size = np.array([len(sets[i]) for i in right])
+    names, spot = np.unique(label, return_inverse=True)
+    found, out = _Union(len(names)), []
+    for i in left:
+        low = np.searchsorted(flat, sets[i])
+        n = np.searchsorted(flat, sets[i], "right") - low
+        both = np.bincount(owner[np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)], minlength=len(right))
+        for j in right[both / (len(sets[i]) + size - both) >= least].tolist():
+            if found.join(int(spot[i]), int(spot[j])):
+                out.append((int(label[i]), int(label[j])))
+    return out
 
-    Texts with a shingle similarity of 0.8 share nearly all their words, so fingerprints of word sets are a few
-    bits apart where those of five-word shingles are ten; in one of four tables nearly all such pairs are within
-    radius 4. Groups of up to ``small`` have all their pairs verified, larger ones a spanning forest per parity word.
-    """
-    tune(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            prints = word_set_prints(b.column(1), tables).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(prints[:, k].copy()) for k in range(tables))], ["own", *(f"fp{k}" for k in range(tables))])
-
-    schema = "own long, " + ", ".join(f"fp{k} long" for k in range(tables))
-    prints = checkpoint(docs.select("own", "text").mapInArrow(run, schema).dropDuplicates(["own"]))
-    found = None
-    for k in range(tables):
-        first = checkpoint(prints.groupBy(F.col(f"fp{k}").alias("fp")).agg(F.min("own").alias("own"), F.count(F.lit(1)).alias("n")))
-        links = fingerprint_links(first, radius, small=small)
-        x, y = first.select(F.col("fp").alias("a"), F.col("own").alias("own_a")), first.select(F.col("fp").alias("b"), F.col("own").alias("own_b"))
-        links = links.join(x, "a").join(y, "b").select(F.col("own_a").alias("a"), F.col("own_b").alias("b"))
-        same = prints.join(first.filter("n > 1").select(F.col("fp").alias(f"fp{k}"), F.col("own").alias("first")), f"fp{k}").filter("own != first")
-        links = checkpoint(links.unionByName(same.select(F.col("first").alias("a"), F.col("own").alias("b"))))
-        found = links if found is None else found.unionByName(links)
-    edges = checkpoint(found.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    # only texts that have a link are shuffled by their hash
-    held = docs.select("own", "text").join(nodes.hint("shuffle_hash"), F.col("own") == F.col("node"), "left_semi").dropDuplicates(["own"])
-    held = checkpoint(held)
+def _verified(edges: DataFrame, held: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The rows of ``edges`` (a, b) whose texts are alike."""
     pairs = edges.join(held.select(F.col("own").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("own").alias("b"), F.col("text").alias("text_b")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,13 +315,93 @@ def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
 
-def keep_first(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 4, tables: int = 4) -> DataFrame:
+def _settled(members: DataFrame, labels: DataFrame, held: DataFrame, shingle: int, least: float) -> DataFrame:
+    """a, b: the links between ``labels`` (node, label) that the hubs of ``members`` (key, own, hub) left out.
+
+    All pairs of a key are tried, but for those with its hub, which have been, and those of its largest group,
+    which are connected. Texts outside that group meet all others of the key, ``SLICE`` by ``SLICE`` in a task.
+    """
+    rest = members.filter("own != hub").join(labels, F.col("own") == F.col("node"), "left").select("key", "own", F.coalesce("label", "own").alias("label"))
+    open_keys = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
+    rest = checkpoint(rest.join(open_keys, "key", "left_semi"))
+    groups = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = groups.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"))
+    cut = lambda n: F.ceil(F.col(n) / SLICE).cast("int")
+    main = checkpoint(main.select("key", F.col("main.label").alias("main"), cut("n").alias("rights"), F.ceil((F.col("n") - F.col("main.n")) / SLICE).cast("int").alias("lefts")))
+    part = lambda n: F.pmod(F.xxhash64("own", F.lit(7)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = rest.join(main, "key")
+    left = rest.filter("label != main").select("key", part("lefts").alias("l"), each("rights").alias("r"), "own", "label", F.lit(True).alias("build"))
+    right = rest.select("key", each("lefts").alias("l"), part("rights").alias("r"), "own", "label", F.lit(False).alias("build"))
+    rows = left.unionByName(right).join(held, "own").select(F.xxhash64("key", "l", "r").alias("task"), "label", "build", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have: list[pa.RecordBatch] = []
+
+        def done():
+            t = pa.Table.from_batches(have).combine_chunks()
+            label, build = (t.column(k).to_numpy() for k in (1, 2))
+            pairs = np.array(alike_across(label, build, t.column(3).combine_chunks(), shingle, least), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+        now = None
+        for b in batches:  # rows come sorted by task
+            task = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(task)) + 1).tolist(), len(task)]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if s == e:
+                    continue
+                if now is not None and task[s] != now:
+                    yield done()
+                    have = []
+                now = task[s]
+                have.append(b.slice(s, e - s))
+        if have:
+            yield done()
+
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+
+
+def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """node, label: text hashes (column own) have one label if links of alike shingles connect them; texts without a link are left out.
+
+    Candidates share a band of minima of their shingles: the chance depends on the pair's similarity alone,
+    not on where the texts differ. Every text of a band key is tried with a hub first; what the exactly verified
+    links leave apart is then tried pair by pair, so nothing is thinned that has not been verified.
+    """
+    tune(docs.sparkSession, 250)
+    bands = bands_for(least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = pa.array(band_keys(b.column(1), shingle, bands).view(np.int64).ravel())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * bands), keys)], ["own", "keys"])
+
+    prints = checkpoint(docs.select("own", "text").mapInArrow(run, "own long, keys array<long>").dropDuplicates(["own"]))
+    keyed = prints.select(F.explode("keys").alias("key"), "own")
+    mask = F.xxhash64("key")  # another hub in each band
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("own")).alias("who"), F.min(F.col("own").bitwiseXOR(mask)).alias("hub")).filter("n > 1")
+    shared = shared.groupBy("n", "who").agg(F.min(F.struct("key", "hub")).alias("one"))  # the same texts in several bands count once
+    shared = checkpoint(shared.select("n", F.col("one.key").alias("key"), F.col("one.hub").alias("hub")))
+    members = checkpoint(keyed.join(shared, "key").select("key", "own", F.col("hub").bitwiseXOR(mask).alias("hub"), "n"))
+    # only texts that share a key are shuffled by their hash
+    nodes = members.select(F.col("own").alias("node")).distinct()
+    held = checkpoint(docs.select("own", "text").join(nodes.hint("shuffle_hash"), F.col("own") == F.col("node"), "left_semi").dropDuplicates(["own"]))
+    edges = members.filter("own != hub").select(F.least("own", "hub").alias("a"), F.greatest("own", "hub").alias("b")).distinct()
+    labels = components(_verified(edges, held, shingle, least))
+    more = components(_settled(members.filter("n > 2"), labels, held, shingle, least)).select(F.col("node").alias("group"), F.col("label").alias("whole"))
+    joined = labels.join(more, F.col("label") == F.col("group"), "left").select("node", F.coalesce("whole", "label").alias("label"))
+    alone = more.join(labels, F.col("group") == F.col("node"), "left_anti").select(F.col("group").alias("node"), F.col("whole").alias("label"))
+    return checkpoint(joined.unionByName(alone))
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the first by doc_id, then by text; all columns stay.
 
     Rows that are equal in id and text count as one document.
     """
     marked = docs.withColumn("own", F.xxhash64("text")) if "own" not in docs.columns else docs.withColumnRenamed("own", "_kept_own").withColumn("own", F.xxhash64("text"))
-    labels = components(similar_texts(marked.select("own", "text"), shingle, least, radius, tables))
+    labels = similar_texts(marked.select("own", "text"), shingle, least)
     ids = checkpoint(marked.select("doc_id", "own"))
     # the first row of each text, then of each group of texts: hot texts combine before the shuffle
     row = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("own").alias("own"))

@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 import corpus_pipeline as P
@@ -99,3 +100,32 @@ def test_take_repeats_rows(spark):
         n[r.source] += 1
     assert n["t"] + n["s"] <= 44 and max(n["s"], 1) <= 12
     assert held_out() is not None
+
+
+def test_texts_beside_an_unlike_hub_are_compared(spark):
+    rng = random.Random(4)
+    rows = []
+    for g in range(6):  # the same words in other orders: one word set, unlike shingles, but each order has two near copies
+        base = [f"g{g}w{i}" for i in range(150)]
+        for _ in range(5):
+            rng.shuffle(base)
+            for k in (0, 1, 2):
+                w = list(base)
+                w[10 * k + 3], w[10 * k + 4] = w[10 * k + 4], w[10 * k + 3]
+                rows.append((len(rows), " ".join(w)))
+    rng.shuffle(rows)
+    got = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_groups(rows) and len(got) == 30
+
+
+def test_groups_below_the_hub_are_settled(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SLICE", 7, raising=False)
+    rng = random.Random(5)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for _ in range(60):  # a large loose group: many pairs are under 0.8, many over
+        w = list(base)
+        for at in rng.sample(range(120), rng.randrange(2, 6)):
+            w[at] = f"x{rng.randrange(10**9)}"
+        rows.append((len(rows), " ".join(w)))
+    got = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_groups(rows)
