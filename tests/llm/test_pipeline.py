@@ -129,3 +129,24 @@ def test_groups_below_the_hub_are_settled(spark, monkeypatch):
         rows.append((len(rows), " ".join(w)))
     got = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == plain_groups(rows)
+
+
+def block_edits(n=240, seed=6):
+    """Pairs of similarity 0.8 or a little more that differ in one block, or by text added or left out."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(n):
+        size = rng.randrange(100, 300)
+        w, x = ([f"{c}{k}_{i}" for i in range(size)] for c in "wx")
+        most = {0: 0.1, 1: 0.2, 2: 0.2}[k % 3]
+        m = int(most * size) - 3
+        v = {0: w[:40] + x[:m] + w[40 + m :], 1: w + x[:m], 2: w[:40] + w[40 + m :]}[k % 3]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    return rows
+
+
+def test_block_edits_and_added_text_meet(spark):
+    rows = block_edits()
+    got = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = plain_groups(rows)
+    assert got == want and len(want) < 1.2 * len(rows) / 2
