@@ -5,10 +5,14 @@ for each class all windows of that many words, one at every word, get a 64-bit
 SimHash from running sums of their words' bits. An item is represented by the
 first words of its class's size. A multi-index finds all windows within
 ``radius`` bits: of four 16-bit blocks at least one differs in ``radius // 4``
-bits or fewer, and the index has every such variant of every item. Candidates
-are then verified exactly: five-word shingles, counted with repeats and
-weighted by rarity among the items, must have a weighted Jaccard similarity of
-0.8 or more with a window of the item's own length, give or take ``SLACK``.
+bits or fewer, and the index has every such variant of every item. Words put in or
+left out move a window beyond the radius; so each text and item are also
+candidates if the text has one of the item's rarest shingles, as many as
+weigh more than a fifth of the item: no window without one reaches 0.8.
+Candidates are then verified exactly: five-word shingles, counted with repeats
+and weighted by rarity among the items, must have a weighted Jaccard similarity
+of 0.8 or more with some window, of whatever length. The best window begins and
+ends with a shingle of the item, since others at its ends only lower it.
 
 Documents are never shuffled. The items' index goes to every task; it is made for at
 most ``MOST_ITEMS`` items and ``MOST_BYTES`` bytes at a time, counted
@@ -39,7 +43,7 @@ from .simhash import ball
 from .words import word_hashes
 
 SHINGLE = 5
-#: Words more or fewer than the item that a matching window may have.
+#: Words more or fewer than the item that the plain search of the tests tries; the search here has no such bound.
 SLACK = 2
 MOST_ITEMS, MOST_BYTES = 20_000, 16_000_000
 #: Window starts that are fingerprinted at a time.
@@ -85,7 +89,7 @@ def class_sizes(longest: int, ratio: float = 1.25) -> list[int]:
 class Index:
     """The items: their words, weighted shingles and, for each class, the multi-index of fingerprints."""
 
-    def __init__(self, items: list[tuple[int, str | None]], radius: int):
+    def __init__(self, items: list[tuple[int, str | None]], radius: int, least: float = 0.8):
         self.radius = radius
         h, row = word_hashes(pa.array([t for _, t in items], pa.string()))
         cuts = np.searchsorted(row, np.arange(len(items) + 1))
@@ -103,6 +107,20 @@ class Index:
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.known >> np.uint64(44)).astype(np.intp)] = True
         self.known_weight = np.array([self.weight[int(s)] for s in self.known])
+        self.kinds = [np.sort(np.fromiter(b, np.uint64, len(b))) for b in bags]
+        rarest, owners = [], []
+        for i, b in enumerate(bags):
+            over = (1 - least) * self.full[i] + 1e-9
+            for s in sorted(b, key=lambda s: (-self.weight[s], s)) if len(self.words[i]) >= SHINGLE else ():
+                rarest.append(s)
+                owners.append(i)
+                over -= b[s] * self.weight[s]
+                if over < 0:
+                    break
+        spot = np.searchsorted(self.known, np.array(rarest, np.uint64))
+        order = np.argsort(spot, kind="stable")
+        self.rarest = np.searchsorted(spot[order], np.arange(len(self.known) + 1))
+        self.rarest_owner = np.array(owners, np.int64)[order]
         sizes = class_sizes(max(map(len, self.words), default=1))
         members = defaultdict(list)
         for i, w in enumerate(self.words):
@@ -138,23 +156,60 @@ def similarity(index: Index, item: int, window: np.ndarray) -> float:
     return float(common / (index.full[item] + sum(n * weight(s) for s, n in other.items()) - common))
 
 
+def best_window(index: Index, item: int, grams: np.ndarray, at: np.ndarray, total: np.ndarray, least: float) -> tuple[int, int] | None:
+    """First and last shingle of the most similar window, the first of equals; none under ``least``.
+
+    ``at``: where the text has shingles that items have; ``total``: running sums of all shingles' weights.
+    """
+    kinds, bag, full = index.kinds[item], index.bags[item], index.full[item]
+    spot = np.minimum(np.searchsorted(kinds, grams[at]), len(kinds) - 1)
+    at = at[kinds[spot] == grams[at]]
+    if not len(at):
+        return None
+    names = grams[at].tolist()
+    weights = [index.weight[s] for s in names]
+    sums = np.concatenate([[0.0], np.cumsum(weights)])
+    # common <= full and common >= least x (full + window - common): a window weighs full / least at most
+    stop = np.searchsorted(total[at + 1], total[at] + full / least + 1e-6, "right")
+    low = least * full - 1e-6
+    best, where = least - 1e-9, None
+    ends = total[at + 1].tolist()
+    for i in np.flatnonzero(sums[stop] - sums[np.arange(len(at))] >= low).tolist():
+        have: dict[int, int] = {}
+        common, begin = 0.0, float(total[at[i]])
+        for j in range(i, int(stop[i])):
+            s = names[j]
+            have[s] = n = have.get(s, 0) + 1
+            if n > bag[s]:
+                continue
+            common += weights[j]
+            if common >= low and (like := common / (full + ends[j] - begin - common)) > best + 1e-9 * (where is not None):
+                best, where = like, (int(at[i]), int(at[j]))
+        if best >= 1.0 - 1e-9:
+            break
+    return where
+
+
 def find(index: Index, h: np.ndarray, row: np.ndarray, least: float) -> Iterator[tuple[int, int, float, int, int, int]]:
     """(text, item, similarity, bits that differ, first word, words) of the best window of each text and item."""
-    if not len(h):
+    if not len(h) or not index.classes:
         return
     first = np.searchsorted(row, np.arange(row[-1] + 2))
-    # weights of shingles that items have, summed up to each word: what a window could share at most
+    # shingles that items have: where they are, and their weights summed up to each word
     grams = roll(h, SHINGLE)
+    spots = known = np.zeros(0, np.int64)
     weight = np.zeros(len(h) + 1)
     if len(grams) and len(index.known):
         hit = np.flatnonzero(index.maybe.take((grams >> np.uint64(44)).astype(np.intp)))
         at = np.minimum(np.searchsorted(index.known, grams[hit]), len(index.known) - 1)
         same = (index.known[at] == grams[hit]) & (row[hit] == row[hit + SHINGLE - 1])
-        weight[1 + hit[same]] = index.known_weight[at[same]]
+        spots, known = hit[same], at[same]
+        weight[1 + spots] = index.known_weight[known]
         np.cumsum(weight, out=weight)
         weight[len(grams) + 1 :] = weight[len(grams)]
-    if not index.classes:
-        return
+    n = index.rarest[known + 1] - index.rarest[known]
+    owner = index.rarest_owner[np.arange(n.sum()) + np.repeat(index.rarest[known] - np.cumsum(n) + n, n)]
+    tried = [(row[np.repeat(spots, n)].astype(np.int64) << 32) | owner]
     best: dict[tuple[int, int], tuple] = {}
     for at, made in window_prints(h, [c[0] for c in index.classes]):
         for (size, which, prints, blocks), w in zip(index.classes, made, strict=True):
@@ -176,25 +231,39 @@ def find(index: Index, h: np.ndarray, row: np.ndarray, least: float) -> Iterator
             item = which[owner]
             may = row[spot] == row[spot + size - 1]
             if size >= SHINGLE:
-                top = np.minimum(spot + index.length[item] + SLACK, first[row[spot] + 1])
-                may &= weight[top] - weight[spot] >= least * index.full[item] - 1e-9
-            spot, owner, item = spot[may], owner[may], item[may]
+                text = row[spot]
+                may &= weight[first[text + 1]] - weight[first[text]] >= least * index.full[item] - 1e-9
+                tried.append((text[may].astype(np.int64) << 32) | item[may])
+                continue
+            # an item of fewer words than a shingle matches whole
             apart = np.bitwise_count(w[spot - at] ^ prints[owner])
-            order = np.argsort(apart, kind="stable")  # the best aligned first: a whole match ends the item's search
-            for s, i, bits in zip(spot[order].tolist(), item[order].tolist(), apart[order].tolist(), strict=True):
+            for s, i, bits in zip(spot[may].tolist(), item[may].tolist(), apart[may].tolist(), strict=True):
                 t, k = int(row[s]), len(index.words[i])
-                if best.get((t, i), (0,))[0] >= 1.0:
-                    continue
-                for m in sorted(range(max(1, k - SLACK), k + SLACK + 1), key=lambda m: abs(m - k)):
-                    if s + m > first[t + 1] or (k < SHINGLE and m != k):
-                        continue
-                    like = similarity(index, i, h[s : s + m])
-                    if like >= least and (like, -s) > best.get((t, i), (0, 0))[:2]:
-                        best[t, i] = (like, -s, bits, m)
-                    if like >= 1.0:
-                        break
+                if s + k <= first[t + 1] and (t, i) not in best and similarity(index, i, h[s : s + k]) >= 1.0:
+                    best[t, i] = (1.0, s, bits, k)
+    pairs = np.unique(np.concatenate(tried))
+    text, item = pairs >> 32, pairs & 0xFFFFFFFF
+    may = weight[first[text + 1]] - weight[first[text]] >= least * index.full[item] - 1e-9
+    pairs = pairs[may]
+    if len(pairs):
+        each = np.full(len(grams), index.rare)
+        each[spots] = index.known_weight[known]
+        total = np.concatenate([[0.0], np.cumsum(each)])
+        size_of = {int(i): (c[0], p) for c in index.classes for i, p in zip(c[1], c[2], strict=True)}
+    for t, i in zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist(), strict=True):
+        a, b = np.searchsorted(spots, (first[t], first[t + 1]))
+        where = best_window(index, i, grams, spots[a:b], total, least)
+        if where is None:
+            continue
+        s, m = where[0], where[1] - where[0] + SHINGLE
+        like = similarity(index, i, h[s : s + m])
+        if like >= least:
+            size, mine = size_of[i]
+            part = h[s : min(s + size, first[t + 1])]  # a text that ends before the class's words are through has fewer
+            bits = (int(next(window_prints(part, [len(part)]))[1][0][0]) ^ int(mine)).bit_count()
+            best[t, i] = (like, s, bits, m)
     for (t, i), (like, s, bits, m) in sorted(best.items()):
-        yield t, i, like, bits, -s - int(first[t]), m
+        yield t, i, like, bits, s - int(first[t]), m
 
 
 def _parts(benchmark: DataFrame) -> Iterator[list]:
@@ -218,14 +287,14 @@ def _parts(benchmark: DataFrame) -> Iterator[list]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int = 11) -> DataFrame:
     """doc_id, item_id, similarity, hamming, start_word, n_words: each item that each row of ``docs`` holds."""
     spark = docs.sparkSession
-    tune(spark)
+    tune(spark, 250)
     kinds = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, similarity double, hamming int, start_word long, n_words int"
     out = [spark.createDataFrame([], schema)]
     for items in _parts(benchmark):
         if not items:
             continue
-        index = Index(items, radius)
+        index = Index(items, radius, least)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -243,12 +312,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radi
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int = 11) -> DataFrame:
     """``docs`` without the rows that hold an item; all columns stay, nothing is shuffled."""
-    tune(docs.sparkSession)
+    tune(docs.sparkSession, 250)
     at = docs.columns.index("text")
     for items in _parts(benchmark):
         if not items:
             continue
-        index = Index(items, radius)
+        index = Index(items, radius, least)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -115,3 +115,56 @@ def test_edges_and_parts(spark, monkeypatch):
     assert D.contaminated(docs.limit(0), items).collect() == [] and D.contaminated(docs, items.limit(0)).collect() == []
     assert D.clean(docs, items.limit(0)).count() == 7
     assert len(D.word_hashes(pa.array([], pa.string()))[0]) == 0
+
+
+def best_of_all(w, item):
+    """Similarity of the best window of any length."""
+    bag, best = grams(item), 0.0
+    made, size = [tuple(w[i : i + 5]) for i in range(len(w) - 4)], sum(bag.values())
+    for a in range(len(made)):
+        other, both = Counter(), 0
+        for n, g in enumerate(made[a:], 1):
+            other[g] += 1
+            both += other[g] <= bag[g]
+            best = max(best, both / (size + n - both))
+    return best
+
+
+def test_words_put_in_or_left_out(spark):
+    rng = random.Random(8)
+    items, docs, want = [], [], set()
+    for k, size in enumerate([59, 15, 22, 41, 120, 59, 33, 80]):
+        w = [f"i{k}x{j}" for j in range(size)]
+        items.append((k, " ".join(w)))
+        for n, cut in ((0, 1), (size // 12, 0), (size // 10, 0), (0, size // 12), (0, size // 6), (size // 3, 0)):
+            at = size - 1 if cut == 1 else size // 2
+            v = w[:at] + [f"n{rng.randrange(10**9)}" for _ in range(n)] + w[at + cut :]
+            for pad in (0, 6):  # alone, and in other text
+                d = [f"p{j}" for j in range(pad)] + v + [f"q{j}" for j in range(pad)]
+                docs.append((len(docs), " ".join(d)))
+                if best_of_all(d, w) >= 0.8:
+                    want.add((docs[-1][0], k))
+    found = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want and 30 < len(want) < len(docs)
+    for r in found[::5]:
+        d, w = docs[r.doc_id][1].split(), items[r.item_id][1].split()
+        assert abs(r.similarity - best_of_all(d, w)) < 1e-9 and d[r.start_word : r.start_word + r.n_words][0] in w
+
+
+def test_edits_in_other_text_at_all_lengths(spark):
+    rng = random.Random(7)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(BENCH).collect()]
+    other = " ".join(r.text for r in spark.read.parquet(DOCS).limit(40).collect()).split()
+    docs = []
+    for k in range(150):
+        w = rng.choice(items)[1].split()
+        for _ in range(rng.choice([1, 2, 2, 3])):
+            at, kind, n = rng.randrange(len(w)), rng.randrange(3), rng.randrange(1, 6)
+            w[at : at + (n if kind != 1 else 0)] = rng.choices(other, k=n) if kind != 2 else []
+        a = rng.randrange(len(other) - 200)
+        docs.append((k, " ".join(other[a : a + 60] + w + other[a + 60 : a + 90]).upper()))
+    long = [(i, words(t)) for i, t in items if len(words(t)) >= 5]
+    want = {(d, i) for d, t in docs for i, w in long if best_of_all(words(t), w) >= 0.8}
+    found = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    short = {i for i, t in items if len(words(t)) < 5}
+    assert len(want) > 15 and {(r.doc_id, r.item_id) for r in found.collect() if r.item_id not in short} == want
