@@ -131,10 +131,11 @@ class Rollup:
         """Ids whose rows a compacted batch holds."""
         out: set[str] = set()
         for n in self._listed():
-            mark = self._path(f"{self._batch(n)}/_covers")
+            mark = self._path(f"{self._batch(n)}/_covers")  # Spark's readers skip names that begin so
             if self._fs.exists(mark):
-                lines = self.spark.read.text(mark.toString()).collect()  # one line a batch
-                out.update(r.value for r in lines)
+                held = self._fs.open(mark)
+                out.update(bytes(held.readAllBytes()).decode().split("\n"))
+                held.close()
         return out
 
     def _listed(self) -> list[str]:
@@ -168,8 +169,10 @@ class Rollup:
         if not names or self.committed(batch_id):
             return False
         self._write(batch_id, self.totals(), sorted({*names, *self._covered()}))
-        for n in names:
-            self._fs.delete(self._path(self._batch(n)), True)
+        covered = self._covered()
+        for n in self._listed():  # and what a compaction that was cut off here has left
+            if n in covered:
+                self._fs.delete(self._path(self._batch(n)), True)
         return True
 
     def drop(self) -> None:

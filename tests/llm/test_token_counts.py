@@ -61,6 +61,22 @@ def test_crash_between_write_and_rename(spark, counter, tmp_path):
     assert total(ledger.totals()) == {("s", "en", "v1"): (1, counter()("a b"), 3)}
 
 
+def test_crash_between_rename_and_delete(spark, counter, tmp_path, monkeypatch):
+    ledger = T.Rollup(spark, str(tmp_path / "ledger"))
+    rows = T.inserted(T.count_tokens(spark.createDataFrame([(1, "s", "en", "a b", "x")], SCHEMA), counter, "v1"))
+    ledger.commit("a", rows)
+    ledger.commit("b", rows)
+    before = total(ledger.totals())
+    covered = ledger._covered
+    monkeypatch.setattr(ledger, "_covered", lambda: set())  # the old batches are not deleted
+    assert ledger.compact("packed")
+    monkeypatch.setattr(ledger, "_covered", covered)
+    assert ledger._listed() == ["a", "b", "packed"] and ledger.batches() == ["packed"]
+    assert total(ledger.totals()) == before and not ledger.commit("a", rows)
+    assert ledger.compact("again") and ledger._listed() == ["again"]  # what was left goes with the next one
+    assert total(ledger.totals()) == before and not ledger.commit("b", rows) and not ledger.commit("packed", rows)
+
+
 def test_query_against_plain_counts(spark, counter):
     got = total(op10_token_rollup(spark, "/root/testdata/sf0.001"))
     count, want = counter(), {}
