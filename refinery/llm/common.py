@@ -8,6 +8,7 @@ arithmetic over it, so no Python runs per word.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,20 +72,80 @@ def batch_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def portions(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most so many bytes of text, or of one row, so that what is made from a slice stays small."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = np.cumsum(size)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] - size[at] + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def byte_table(is_word) -> np.ndarray:
     return np.fromiter((is_word(b) for b in range(256)), bool, 256)
 
 
-#: Letters, digits and every byte of a non-ASCII character.
+#: Letters, digits and every byte of a non-ASCII character; ``inside_words`` takes punctuation out again.
 WORD_BYTES = byte_table(lambda b: b >= 128 or chr(b).isalnum())
 
+#: Ranges of code points beyond ASCII that are blanks, punctuation or signs.
+BETWEEN = [
+    (0x0080, 0x00A9),
+    (0x00AB, 0x00B4),
+    (0x00B6, 0x00B9),
+    (0x00BB, 0x00BF),
+    (0x00D7, 0x00D7),
+    (0x00F7, 0x00F7),
+    (0x2000, 0x206F),
+    (0x20A0, 0x20CF),
+    (0x2190, 0x245F),
+    (0x2E00, 0x2E7F),
+    (0x3000, 0x3004),
+    (0x3008, 0x3020),
+    (0x3030, 0x3030),
+    (0xFF01, 0xFF0F),
+    (0xFF1A, 0xFF20),
+    (0xFF3B, 0xFF40),
+    (0xFF5B, 0xFF65),
+]
+
+
+def _between_table() -> np.ndarray:
+    out = np.zeros(1 << 16, bool)
+    for low, high in BETWEEN:
+        out[low : high + 1] = True
+    return out
+
+
+_BETWEEN = _between_table()
+_LEADS = np.zeros(256, bool)
+for _low, _high in BETWEEN:
+    _LEADS[chr(_low).encode()[0] : chr(_high).encode()[0] + 1] = True
+
+
+def inside_words(raw: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether each byte of UTF-8 texts is inside a word: by ``table``, but for punctuation beyond ASCII."""
+    ok = table[raw]
+    lead = np.flatnonzero(_LEADS[raw])
+    if len(lead):
+        a, b, c = np.pad(raw, (0, 2))[lead[:, None] + np.arange(3)].astype(np.int32).T
+        wide = a >= 0xE0
+        point = np.where(wide, (a & 15) << 12 | (b & 63) << 6 | c & 63, (a & 31) << 6 | b & 63)
+        out = _BETWEEN[point]
+        at = lead[out]
+        ok[at] = ok[at + 1] = False
+        ok[lead[out & wide] + 2] = False
+    return ok
+
 
 def spans(raw: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text number of each maximal run of ``inside`` bytes; runs end with their text."""
+    """Start, end and text number of each maximal run of bytes inside words (table ``inside``); runs end with their text."""
     if not len(raw):
         z = np.zeros(0, np.int64)
         return z, z, z
-    ok = inside[raw]
+    ok = inside_words(raw, inside)
     first = np.zeros(len(raw) + 1, bool)
     first[offs] = True
     first = first[:-1]
@@ -143,6 +204,48 @@ def roll(h: np.ndarray, k: int) -> np.ndarray:
     return mix64(out)
 
 
+#: Ids that are sent to tasks with their marks (9 bytes each); more are joined.
+MOST_SENT = 2_000_000
+
+
+class Marks:
+    """Small whole numbers by doc_id, for rows of documents, -1 where there is none.
+
+    ``rows`` has doc_id, text and mark. Whole-number ids that are few (counted first) go to the tasks as
+    they are, so no text is shuffled, and ``fill`` sets their marks there; others are joined.
+    """
+
+    def __init__(self, docs: DataFrame, marks: DataFrame):
+        """marks: doc_id and mark, an id once only."""
+        self.sent: tuple[np.ndarray, np.ndarray] | None = None
+        whole = {"tinyint", "smallint", "int", "bigint"}
+        marks = marks.select("doc_id", F.col("mark").cast("tinyint").alias("mark")).filter(F.col("doc_id").isNotNull())
+        if {dict(docs.dtypes)["doc_id"], dict(marks.dtypes)["doc_id"]} <= whole and marks.limit(MOST_SENT + 1).count() <= MOST_SENT:
+            got = marks.toArrow()
+            ids = got.column(0).to_numpy().astype(np.int64)
+            order = np.argsort(ids)
+            self.sent = ids[order], got.column(1).to_numpy()[order]
+            self.rows = docs.select("doc_id", "text", F.lit(-1).cast("tinyint").alias("mark"))
+        else:
+            joined = docs.select("doc_id", "text").join(marks.hint("shuffle_hash"), "doc_id", "left")
+            self.rows = joined.select("doc_id", "text", F.coalesce("mark", F.lit(-1).cast("tinyint")).alias("mark"))
+
+    @staticmethod
+    def fill(sent: tuple[np.ndarray, np.ndarray] | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches of ``rows`` (and more columns, if any) with their marks."""
+        for b in batches:
+            if sent is not None:
+                ids, marks = sent
+                got = b.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                out = np.full(len(got), -1, np.int8)
+                if len(ids):
+                    at = np.minimum(np.searchsorted(ids, got), len(ids) - 1)
+                    there = (ids[at] == got) & b.column(0).is_valid().to_numpy(zero_copy_only=False)
+                    out[there] = marks[at[there]]
+                b = pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(out), *b.columns[3:]], b.schema.names)
+            yield b
+
+
 def bounded_rows(df: DataFrame, most: int, what: str) -> list:
     """Collects a table whose size is checked first; a larger one is an error, never cut."""
     n = df.limit(most + 1).count()

@@ -7,8 +7,9 @@ labels every word; runs of one label are spans. A text's language is the one
 with most letters on the path, its score that share of the letters.
 
 Counts cover all texts that may be learnt from. The model is a table of
-``2 ** bits`` trigram cells by language; bits shrink as languages grow, so
-that it never takes more than ``MOST_MODEL`` bytes; it goes to the tasks with their code. The
+``2 ** BITS`` trigram cells by language, a quarter of a megabyte each, which
+goes to the tasks with their code; more than ``MOST_LANGUAGES`` languages are
+an error, since the path takes the square of their number. The
 path is found for all texts of a batch at once: texts are cut into segments of
 ``SEGMENT`` words, solved together for every state a segment can start in, and
 chained per text.
@@ -29,11 +30,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_bytes, bounded_rows, byte_table, spans, tune
+from .common import batch_bytes, bounded_rows, byte_table, inside_words, portions, spans, tune
 
 UNKNOWN = "und"
 MOST_LANGUAGES = 512
-MOST_MODEL = 64_000_000
+BITS = 16
 SEGMENT = 128
 #: Segments that are solved together hold at most so many cells of languages squared.
 CELLS = 1 << 22
@@ -85,7 +86,7 @@ class Words:
         raw, offs = batch_bytes(pc.binary_join_element_wise(texts, empty, stop))
         self.starts, self.ends, self.row = spans(raw, offs, LETTERS)
         self.letters = self.ends - self.starts
-        inside = LETTERS[raw]
+        inside = inside_words(raw, LETTERS)
         # a word's code point is enough for its script: that of its first letter
         first = np.pad(raw, (0, 4))[self.starts[:, None] + np.arange(3)].astype(np.int64) if len(self.starts) else np.zeros((0, 3), np.int64)
         a, b, c = first.T
@@ -210,6 +211,16 @@ class Model:
         return words, viterbi(scores, words.row, self.penalty)
 
     def predict(self, texts: pa.Array) -> tuple[list[str], list[float]]:
+        """Language and score of each text, a portion of the texts at a time."""
+        lang: list[str] = []
+        score: list[float] = []
+        for part in portions(pa.RecordBatch.from_arrays([texts], ["text"]), 0):
+            some = self._predict(part.column(0))
+            lang += some[0]
+            score += some[1]
+        return lang, score
+
+    def _predict(self, texts: pa.Array) -> tuple[list[str], list[float]]:
         n, k = len(texts), len(self.languages)
         known = _has_letter(texts)
         if not k:
@@ -245,12 +256,11 @@ def train(docs: DataFrame, penalty: float = 6.0) -> Model:
     languages = sorted(r.lang for r in bounded_rows(taught.select("lang").distinct(), MOST_LANGUAGES, "languages"))
     if not languages:
         return Model([], np.zeros((1, 0), np.float32), np.zeros((len(SCRIPT_NAMES), 0), np.float32), 8, penalty)
-    bits = min(18, int(np.log2(MOST_MODEL / 4 / len(languages))))
-    cells = 1 << bits
+    bits, cells = BITS, 1 << BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = {}  # by language: trigram cells, then scripts
-        for b in batches:
+        for b in (part for whole in batches for part in portions(whole, 1)):
             words = Words(b.column(1), bits)
             langs = b.column(0).dictionary_encode()
             names = langs.dictionary.to_pylist()
@@ -269,7 +279,7 @@ def train(docs: DataFrame, penalty: float = 6.0) -> Model:
 
     counted = taught.mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     counts = np.zeros((len(languages), cells + len(SCRIPT_NAMES)), np.float64)
-    found = counted.toArrow()  # at most languages x cells rows, which MOST_MODEL bounds
+    found = counted.toArrow()  # at most MOST_LANGUAGES x cells rows
     number = {name: i for i, name in enumerate(languages)}
     lang = found.column(0).combine_chunks().dictionary_encode()
     if len(found):
