@@ -19,7 +19,7 @@ most ``MOST_ITEMS`` items and ``MOST_BYTES`` bytes at a time, counted
 beforehand. A larger benchmark is scanned in several parts by item hash, each
 within the bounds.
 
-Defined results: letters and digits make words, case is ignored; texts and
+Defined results: letters and digits make words, all else parts them, case is ignored; texts and
 items that are null or have no words match nothing; items shorter than five
 words are one shingle, so they match only whole; repeated rows each
 give their own rows, repeated items (equal id and text) count once; an empty table gives an empty result; other columns are
@@ -43,8 +43,6 @@ from .simhash import ball
 from .words import word_hashes
 
 SHINGLE = 5
-#: Words more or fewer than the item that the plain search of the tests tries; the search here has no such bound.
-SLACK = 2
 MOST_ITEMS, MOST_BYTES = 20_000, 16_000_000
 #: Window starts that are fingerprinted at a time.
 CHUNK = 1 << 14
