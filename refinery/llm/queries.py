@@ -38,7 +38,7 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled as of quality, as far as labels may be learnt from; background: all."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return lm_score.score(docs, lm_score.train(docs, labels.filter((F.col("quality") == 1) & ~held_out())))
+    return lm_score.score(docs, labels.filter((F.col("quality") == 1) & ~held_out()))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,10 +121,11 @@ ORACLE_SQL: dict[str, str] = {
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT DISTINCT vec_id, q FROM v WHERE vec_id % 50 = 0),
 s AS (
-  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+  SELECT a.vec_id AS query_id, a.q, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, q ORDER BY score DESC, vec_id) AS n FROM s)
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5""",
     "op8_mix_sources": r"""
 WITH d AS (

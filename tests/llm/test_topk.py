@@ -10,7 +10,7 @@ from refinery.llm import topk as T
 def brute(rows, is_query, k=5):
     good = [(v, [math.floor(256 * x) for x in e]) for v, e in rows if v is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)]
     out = []
-    for q, a in good:
+    for q, a in {(v, tuple(e)): None for v, e in good}:  # a query row that repeats counts once
         if is_query(q):
             found = sorted((-sum(x * y for x, y in zip(a, b)), v) for v, b in good if v != q and len(a) == len(b))[:k]
             out += [(q, n + 1, v, -s) for n, (s, v) in enumerate(found)]
@@ -43,8 +43,34 @@ def test_ties_large_values_and_edges(spark):
 
 def test_bounds_hold():
     rng = np.random.default_rng(5)
-    x, q = np.floor(rng.normal(0, 40, (500, 16))), np.floor(rng.normal(0, 40, (20, 16)))
-    cells = T.Cells(x.min(), x.max())
+    x, q = np.floor(rng.normal(0, 400, (500, 16))), np.floor(rng.normal(0, 40, (20, 16)))
+    cells = T.Grid(x.min(), x.max())
     low, high = cells.bounds(cells.of(x), q)
     exact = q @ x.T
     assert (low <= exact).all() and (exact <= high).all()
+
+
+def test_repeated_rows_and_equal_vectors(spark, monkeypatch):
+    """A vector that a third of all rows share, repeated query rows, an id with two vectors."""
+    rng = random.Random(4)
+    vector = lambda: [rng.uniform(-1, 1) for _ in range(4)]
+    hot = vector()
+    rows = [(i, hot if i % 3 == 0 else vector()) for i in range(400)]
+    rows += rows[:120:10] * 3 + [(100, vector()), (50, hot), (50, hot), (7, hot)] + [(3, hot)] * 20
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows, lambda v: v % 50 == 0)
+    assert rows_of(T.top_k(df, F.col("vec_id") % 50 == 0)) == want
+    monkeypatch.setattr(T, "MOST_HELD", 10)
+    monkeypatch.setattr(T, "FIRST", 0)  # nothing is certain after the first reads
+    monkeypatch.setattr(T, "ROWS", 19)
+    assert rows_of(T.top_k(df, F.col("vec_id") % 50 == 0)) == want
+
+
+def test_few_exact_vectors_are_read(spark, monkeypatch):
+    """The bounds leave a small part of the file."""
+    seen = []
+    real = T.exact_scores
+    monkeypatch.setattr(T, "exact_scores", lambda c, g: seen.append(c.count()) or real(c, g))
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    n = T.top_k(df, F.col("vec_id") % 50 == 0).count()
+    assert n <= sum(seen) < 0.05 * df.count() * n / 5
