@@ -83,6 +83,14 @@ def portions(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterato
         at = to
 
 
+def prefix_for(columns: list[str]) -> str:
+    """A beginning that no column's name has, for columns added on the way."""
+    out = "_r"
+    while any(c.lower().startswith(out) for c in columns):
+        out += "_"
+    return out + "_"
+
+
 def byte_table(is_word) -> np.ndarray:
     return np.fromiter((is_word(b) for b in range(256)), bool, 256)
 

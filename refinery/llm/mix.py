@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded_rows, checkpoint
+from .common import WORD, bounded_rows, checkpoint, prefix_for
 
 #: Most sources; their weights are ranks in one global order.
 MOST_SOURCES = 1_000_000
@@ -62,9 +62,9 @@ def shuffle_key(seed: str, doc_id: str = "doc_id") -> F.Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def keyed(docs: DataFrame, seed: str) -> DataFrame:
+def keyed(docs: DataFrame, seed: str, prefix: str = "_") -> DataFrame:
     """Adds size in words and h, the place in the shuffled order."""
-    return docs.withColumns({"_size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "_h": shuffle_key(seed)})
+    return docs.withColumns({f"{prefix}size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), f"{prefix}h": shuffle_key(seed)})
 
 
 class Queues:
@@ -134,14 +134,15 @@ def take(docs: DataFrame, weights=weights_123, most_epochs: int = 3, seed: str =
     (equal id and size) are taken together.
     """
     q = Queues(docs, weights, most_epochs, seed)
+    p = prefix_for(docs.columns)
     key = lambda h, size: F.struct(F.col(h).alias("h"), F.col("doc_id").alias("doc_id"), F.col(size).alias("size"))
     lasts = q.queued.groupBy("rank").agg(*(F.max(F.when(q.takes(e), key("h", "size"))).alias(f"last{e}") for e in range(most_epochs)))
-    marks = checkpoint(lasts.join(q.plan, "rank").select(F.col("source").alias("_source"), *(F.col(f"last{e}").alias(f"_last{e}") for e in range(most_epochs))))
+    marks = checkpoint(lasts.join(q.plan, "rank").select(F.col("source").alias(f"{p}source"), *(F.col(f"last{e}").alias(f"{p}last{e}") for e in range(most_epochs))))
     if marks.limit(MOST_SENT + 1).count() <= MOST_SENT:
         marks = F.broadcast(marks)
-    rows = keyed(docs, seed).join(marks, F.col("source").eqNullSafe(F.col("_source")))
-    copies = sum((F.when((F.col("_size") > 0) & (key("_h", "_size") <= F.col(f"_last{e}")), 1).otherwise(0) for e in range(most_epochs)), F.lit(0))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(most_epochs)))).filter(F.col("_copy") <= copies).select(*docs.columns)
+    rows = keyed(docs, seed, p).join(marks, F.col("source").eqNullSafe(F.col(f"{p}source")))
+    copies = sum((F.when((F.col(f"{p}size") > 0) & (key(f"{p}h", f"{p}size") <= F.col(f"{p}last{e}")), 1).otherwise(0) for e in range(most_epochs)), F.lit(0))
+    return rows.withColumn(f"{p}copy", F.explode(F.sequence(F.lit(1), F.lit(most_epochs)))).filter(F.col(f"{p}copy") <= copies).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def _cut(copies: DataFrame, budget: int, high: float) -> tuple[float, int, int] | None:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, mix64, roll, tune
+from .common import checkpoint, mix64, prefix_for, roll, tune
 from .components import components
 from .words import word_hashes
 
@@ -400,18 +400,18 @@ def keep_first(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFra
 
     Rows that are equal in id and text count as one document.
     """
-    marked = docs.withColumn("own", F.xxhash64("text")) if "own" not in docs.columns else docs.withColumnRenamed("own", "_kept_own").withColumn("own", F.xxhash64("text"))
-    labels = similar_texts(marked.select("own", "text"), shingle, least)
-    ids = checkpoint(marked.select("doc_id", "own"))
+    p = prefix_for(docs.columns)
+    own, last_id, last_own = f"{p}own", f"{p}id", f"{p}last"
+    marked = docs.withColumn(own, F.xxhash64("text"))
+    labels = similar_texts(marked.select(F.col(own).alias("own"), "text"), shingle, least)
+    ids = checkpoint(marked.select("doc_id", F.col(own).alias("own")))
     # the first row of each text, then of each group of texts: hot texts combine before the shuffle
     row = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("own").alias("own"))
     texts = ids.groupBy("own").agg(F.min(row).alias("row"))
     grouped = texts.join(labels, F.col("own") == F.col("node"), "left").groupBy(F.coalesce("label", "own").alias("label")).agg(F.min("row").alias("row"))
-    kept = checkpoint(grouped.select(F.col("row.doc_id").alias("_id"), F.col("row.own").alias("_own")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("own") == F.col("_own"))
+    kept = checkpoint(grouped.select(F.col("row.doc_id").alias(last_id), F.col("row.own").alias(last_own)))
+    same = F.col("doc_id").eqNullSafe(F.col(last_id)) & (F.col(own) == F.col(last_own))
     rows = marked.join(kept.hint("shuffle_hash"), same, "left_semi")  # texts are shuffled, not sorted
     if ids.groupBy("doc_id", "own").count().filter("count > 1").limit(1).count():
-        rows = rows.dropDuplicates(["doc_id", "own"])
-    if "own" in docs.columns:
-        return rows.drop("own").withColumnRenamed("_kept_own", "own").select(*docs.columns)
-    return rows.select(*docs.columns)
+        rows = rows.dropDuplicates(["doc_id", own])
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))

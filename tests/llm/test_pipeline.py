@@ -150,3 +150,14 @@ def test_block_edits_and_added_text_meet(spark):
     got = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = plain_groups(rows)
     assert got == want and len(want) < 1.2 * len(rows) / 2
+
+
+def test_column_names_that_are_used_on_the_way(spark):
+    """Extra columns keep their names and cells, whatever the operators call theirs."""
+    names = ["_id", "_own", "own", "_size", "_h", "_copy", "_source", "_last0", "_r_own", "_R__size", "node", "label", "key"]
+    rows = [(i, f"alpha beta gamma delta epsilon zeta eta theta {'x' if i % 2 else i}", f"s{i % 2}", "en", 5, *[777 + i] * len(names)) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long, " + ", ".join(f"`{n}` int" for n in names))
+    for out in (simhash.keep_first(docs), mix.take(docs)):
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(tuple(r) == rows[r.doc_id] for r in got)
