@@ -16,7 +16,8 @@ MISSING_TOKENS = ["?", "na", "n/a", "n.a.", "nan", "null", "nil", "#n/a", "<na>"
 TRUE_WORDS, FALSE_WORDS = ["true", "t", "yes", "y", "1"], ["false", "f", "no", "n", "0"]
 
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-INFINITE = r"(?i)^[+-]?inf(inity)?$"
+#: Spellings of infinite numbers.
+INFINITE = [s + w for s in ("", "+", "-") for w in ("inf", "infinity")]
 #: Fixed pattern of date-like text: y-m-d, d-m-y with two or four digits of year, or eight digits, then anything after a blank.
 DATE_LIKE = r"^\s*(\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}|\d{4}\d{2}\d{2})(\s.*)?$"
 
@@ -48,9 +49,13 @@ def blank_nan(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(named(c)), named(c)) for c in floats}) if floats else df
 
 
+#: Fixed value: Unicode white space and the four separators of ASCII.
+WHITE = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    """Takes off all Unicode white space at both ends (``trim`` knows blanks only)."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    """Takes off all Unicode white space at both ends (``trim`` alone knows blanks only); looks at the ends, not at the whole text."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def lowered(c: Column) -> Column:
@@ -66,7 +71,7 @@ def to_number(c: Column) -> Column:
     """Text as a double; null where it is no plain number (a cast alone would take 1d or 1f)."""
     text = strip(c)
     plain = F.when(text.rlike(NUMBER), text.try_cast("double"))
-    return F.when(text.rlike(INFINITE), F.when(text.startswith("-"), float("-inf")).otherwise(float("inf"))).otherwise(plain)
+    return F.when(F.lower(text).isin(INFINITE), F.when(text.startswith("-"), float("-inf")).otherwise(float("inf"))).otherwise(plain)
 
 
 def to_boolean(c: Column, kind: DataType) -> Column:

@@ -35,15 +35,17 @@ def collisions(df: DataFrame, key: str) -> DataFrame:
     return df.filter(X.named(key).isNotNull()).groupBy(X.named(key).alias("key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def differing_columns(df: DataFrame, key: str, values: list, others: list[str]) -> dict:
-    """For each value of the key, the columns in which its rows differ; missing is a value of its own."""
-    if not others:
-        return {v: [] for v in values}
+def differing_columns(df: DataFrame, key: str, others: list[str]) -> DataFrame:
+    """key, n and differ (names of the columns in which its rows differ) of every value of the key that comes more than once.
+
+    Missing is a value of its own. Two different values have a smallest and a largest one that differ, so no
+    distinct count is needed, and rows combine before the shuffle.
+    """
     text = lambda c: F.coalesce(X.named(c).cast("string"), F.lit("\x00missing"))
-    some = df.filter(X.named(key).isin(values)).groupBy(X.named(key).alias("_key"))
-    # two different values have a smallest and a largest one that differ: no distinct count is needed
-    rows = some.agg(*((F.min(text(c)) != F.max(text(c))).alias(f"_{i}") for i, c in enumerate(others))).collect()
-    return {r["_key"]: [c for i, c in enumerate(others) if r[f"_{i}"]] for r in rows}
+    some = df.filter(X.named(key).isNotNull()).groupBy(X.named(key).alias("key"))
+    rows = some.agg(F.count(F.lit(1)).alias("n"), *((F.min(text(c)) != F.max(text(c))).alias(f"_{i}") for i, c in enumerate(others))).filter("n > 1")
+    names = F.array(*(F.when(F.col(f"_{i}"), F.lit(c)) for i, c in enumerate(others))) if others else F.array().cast("array<string>")
+    return rows.select("key", "n", F.array_compact(names).alias("differ"))
 
 
 def detect(df: DataFrame, profiles: dict[str, Profile], t: Thresholds = Thresholds()) -> list[Card]:
@@ -61,7 +63,8 @@ def detect(df: DataFrame, profiles: dict[str, Profile], t: Thresholds = Threshol
         return [*cards, Card("duplicates_near_skipped", Stage.DUPLICATE, None, "no entity key", "Skip", default_action="skip").auto("skip")]
     key = found[0]
     hits = collisions(df, key)
-    n, distinct = hits.count(), df.agg(F.count_distinct(X.named(key))).first()[0]
+    n = hits.count()
+    distinct = profiles[key].n_unique if key in profiles else df.agg(F.count_distinct(X.named(key))).first()[0]
     if not n:
         return [*cards, Card("duplicates_near_clear", Stage.DUPLICATE, key, "every key is used once", "Nothing to do", default_action="continue").auto("continue")]
     rate = n / distinct
@@ -69,7 +72,8 @@ def detect(df: DataFrame, profiles: dict[str, Profile], t: Thresholds = Threshol
         card = Card("duplicates_near_panel_key", Stage.DUPLICATE, key, f"{rate:.0%} of keys repeat", "Keep all rows", "The key names entities seen repeatedly", "keep_all", metadata={"collision_rate": rate})
         return [*cards, card.auto("keep_all")]
     some = hits.orderBy("key").limit(t.clusters).collect()
-    differ = differing_columns(df, key, [r["key"] for r in some], [c for c in names if c != key])
+    shown = df.filter(X.named(key).isin([r["key"] for r in some]))
+    differ = {r["key"]: r.differ for r in differing_columns(shown, key, [c for c in names if c != key]).collect()}  # one row a card
     for i, r in enumerate(some, 1):
         card = Card(f"duplicates_near_{i:03d}", Stage.DUPLICATE, key, f"{r.n} rows have {key} = {r['key']}", "Look at them", "", CLUSTER[0], CLUSTER[1:])
         card.metadata = {"key": key, "value": r["key"], "size": r.n, "differing_columns": differ[r["key"]]}

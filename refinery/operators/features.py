@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from typing import Any
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as X
 from ..functions.quantiles import quantiles
 from ..plans.cards import Card, Stage, Thresholds
+from ..session import shared_folder
 from . import steps
 from .profile import Profile
 from .steps import Step
@@ -205,15 +207,14 @@ def shares(df: DataFrame, column: str) -> DataFrame:
 
 
 def frequency_step(df: DataFrame, column: str, new: str | None = None, most: int = 10_000, path: str | None = None) -> Step:
-    """Shares as literals; more than ``most`` values are written to ``path`` and read back by the step."""
+    """Shares as literals; more than ``most`` values are written to ``path``, in the shared folder if none is given, and read back by the step."""
     if column not in df.columns:
         raise KeyError(column)
     found, new = shares(df, column), new or f"{column}_freq"
     head = found.orderBy("_value").limit(most + 1).collect()
     if len(head) <= most:
         return {"op": "frequency", "column": column, "new": new, "table": [list(r) for r in head]}
-    if path is None:
-        raise ValueError(f"{column} has more than {most} values; give a path for their shares")
+    path = path or f"{shared_folder(df.sparkSession)}/shares-{uuid.uuid4().hex}.parquet"
     found.write.mode("overwrite").parquet(path)
     return {"op": "frequency", "column": column, "new": new, "path": path}
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
+from ..session import checkpoint
 from . import steps
 
 
@@ -117,9 +118,7 @@ def numbered(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
         df, by = df.withColumn("_range", F.shiftright("_seen", 33)), [F.col("_seen")]
     else:
         df = df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id().cast("long"))
-    # ranges must not change between counting and numbering: a checkpoint where a folder is set for it, else a cache
-    shared = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    held = df.checkpoint() if shared else df.persist()
+    held = checkpoint(df)  # ranges must not change between counting and numbering
     counts = held.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     place = Window.partitionBy("_range").orderBy(*by)

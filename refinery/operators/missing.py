@@ -25,10 +25,10 @@ ACTIONS = {
 }
 
 
-def _bins(df: DataFrame, var: str, c: str) -> F.Column | None:
-    """The quartile bin of a column, from its observed values; None if quartiles do not tell two bins apart."""
-    found = quantiles(df, c, [0, 0.25, 0.5, 0.75, 1])
-    edges = sorted(set(found or []))
+def _bins(c: str, p: Profile) -> F.Column | None:
+    """The quartile bin of a column, by its profile; None if quartiles do not tell two bins apart."""
+    s = p.numbers
+    edges = sorted({s.min, s.q25, s.median, s.q75, s.max}) if s else []
     if len(edges) < 3:
         return None
     return X.right_closed_bin(X.named(c).cast("double"), edges, [str(i) for i in range(len(edges) - 1)])
@@ -47,7 +47,7 @@ def classify(df: DataFrame, var: str, profiles: dict[str, Profile], t: Threshold
     for c in candidates:
         kind = df.schema[c].dataType
         if X.is_numeric(kind):
-            made = _bins(df, var, c)
+            made = _bins(c, profiles[c])
             numeric.add(c)
         elif X.is_text(kind) or (X.is_boolean(kind) and t.probe_booleans):
             made = X.named(c).cast("string")

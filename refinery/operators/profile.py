@@ -6,17 +6,18 @@ import re
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
-from ..functions.quantiles import ONE_BUFFER, quantiles
+from ..functions.quantiles import quantiles_of
 from ..plans.cards import Card, Kind, Stage, Thresholds
 from .steps import ROW
 
 #: Name parts that suggest an identifier.
 ID_WORDS = {"id", "key", "code", "uuid", "guid", "index", "idx", "identifier", "no", "num"}
 
+#: Texts of flags.
 ALL_MISSING = "entirely missing"
 ZERO_ONE = "0/1 encoded — may be boolean"
 HIDDEN = {Kind.NUMERIC: "numeric stored as string", Kind.DATETIME: "datetime stored as string", Kind.BOOLEAN: "boolean stored as string"}
@@ -88,13 +89,17 @@ def statistics(df: DataFrame, names: list[str]) -> dict[str, Column]:
     return out
 
 
-def profile(df: DataFrame, t: Thresholds = Thresholds()) -> dict[str, Profile]:
-    """A profile of every column.
+def profile(df: DataFrame, t: Thresholds = Thresholds(), known: dict[str, Profile] | None = None) -> dict[str, Profile]:
+    """A profile of every column, but for those in ``known``, which have not changed.
 
     One scan gives counts, moments and type rates of all columns; distinct counts come a few columns at
-    a time, since each multiplies the rows of its aggregation; quantiles are exact at any size.
+    a time, since each multiplies the rows of its aggregation; quantiles are exact at any size, all columns'
+    together; the top values of all label columns come from one aggregation.
     """
-    names = [c for c in df.columns if c != ROW]
+    every = [c for c in df.columns if c != ROW]
+    names = [c for c in every if c not in (known or {})]
+    if not names and known:
+        return {c: known[c] for c in every}
     df = X.blank_nan(df)
     row = df.agg(F.count(F.lit(1)).alias("total"), *(c.alias(k) for k, c in statistics(df, names).items())).first().asDict()
     total = row["total"]
@@ -102,7 +107,8 @@ def profile(df: DataFrame, t: Thresholds = Thresholds()) -> dict[str, Profile]:
     for at in range(0, len(countable), t.distinct_batch):
         some = countable[at : at + t.distinct_batch]
         row |= df.agg(*(F.count_distinct(X.named(n)).alias(f"{i}_unique") for i, n in some)).first().asDict()
-    spread = _quartiles(df, [(i, n) for i, n in enumerate(names) if X.is_numeric(df.schema[n].dataType)], total, row)
+    numeric = [n for n in names if X.is_numeric(df.schema[n].dataType)]
+    spread = quantiles_of(df, {n: [0.25, 0.5, 0.75] for n in numeric}, {n: row[f"{names.index(n)}_n"] for n in numeric})
     order = [X.named(ROW)] if ROW in df.columns else []
     heads = df.orderBy(*order).limit(50).collect() if order else df.limit(50).collect()
     out = {}
@@ -113,10 +119,8 @@ def profile(df: DataFrame, t: Thresholds = Thresholds()) -> dict[str, Profile]:
         p.samples = [str(r[name]) for r in heads if r[name] is not None][: t.samples]
         p.kind = _kind(p, kind, {k.split("_", 1)[1]: v for k, v in row.items() if k.startswith(f"{i}_")}, t)
         if X.is_numeric(kind) and n:
-            q25, median, q75 = spread[i]
+            q25, median, q75 = spread[name]
             p.numbers = Numbers(row[f"{i}_mean"], median, row[f"{i}_std"], row[f"{i}_min"], row[f"{i}_max"], q25, q75)
-        if p.kind == Kind.CATEGORICAL:
-            p.top_values = top_values(df, name, t.top_values)
         if n:
             if p.n_unique == 1:
                 p.flags.append(CONSTANT)
@@ -126,17 +130,10 @@ def profile(df: DataFrame, t: Thresholds = Thresholds()) -> dict[str, Profile]:
             if p.missing_rate >= t.nearly_empty:
                 p.flags.append(NEARLY_EMPTY)
         out[name] = p
-    return out
-
-
-def _quartiles(df: DataFrame, numeric: list[tuple[int, str]], total: int, row: dict[str, Any]) -> dict[int, list[float]]:
-    probs = [0.25, 0.5, 0.75]
-    if total <= ONE_BUFFER:
-        if not numeric:
-            return {}
-        found = df.agg(*(F.percentile(X.named(n).cast("double"), F.array(*map(F.lit, probs))).alias(str(i)) for i, n in numeric)).first()
-        return {i: found[str(i)] for i, _ in numeric}
-    return {i: quantiles(df, n, probs, row[f"{i}_n"]) for i, n in numeric}
+    labels = [c for c in names if out[c].kind == Kind.CATEGORICAL]
+    for c, found in top_values_of(df, labels, t.top_values).items():
+        out[c].top_values = found
+    return {c: out[c] if c in out else known[c] for c in every}
 
 
 def _kind(p: Profile, kind: Any, s: dict[str, Any], t: Thresholds) -> Kind:
@@ -177,9 +174,23 @@ def looks_like_identifier(name: str, kind: Any, consecutive: bool) -> bool:
 
 def top_values(df: DataFrame, name: str, k: int) -> list[tuple[str, int]]:
     """The k most frequent values, ties by value."""
-    c = X.named(name).cast("string").alias("value")
-    rows = df.select(c).filter("value is not null").groupBy("value").count().orderBy(F.desc("count"), "value").limit(k)
-    return [(r["value"], r["count"]) for r in rows.collect()]
+    return top_values_of(df, [name], k)[name]
+
+
+def top_values_of(df: DataFrame, names: list[str], k: int) -> dict[str, list[tuple[str, int]]]:
+    """The k most frequent values of each column, from one aggregation over (column, value)."""
+    if not names:
+        return {}
+    best = Window.partitionBy("at").orderBy(F.desc("n"), "value")
+    ranked = value_counts(df, names).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    rows = sorted(ranked.collect(), key=lambda r: r["rank"])
+    return {c: [(r["value"], r["n"]) for r in rows if r["at"] == i] for i, c in enumerate(names)}
+
+
+def value_counts(df: DataFrame, names: list[str]) -> DataFrame:
+    """at (a column's place in ``names``), value, n of every value of the columns, as text."""
+    cells = df.select(F.posexplode(F.array(*(X.named(c).cast("string") for c in names))).alias("at", "value"))
+    return cells.filter("value is not null").groupBy("at", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def histogram(df: DataFrame, name: str, bins: int = 15) -> DataFrame:

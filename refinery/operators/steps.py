@@ -38,8 +38,19 @@ def run(df: DataFrame, one: Step) -> DataFrame:
     return _RUN[one["op"]](df, **params)
 
 
+#: Steps that take rows out.
+ROW_STEPS = {"keep_first", "drop_copies", "keep_one", "drop_null_rows", "drop_outliers"}
+
+
+def changed_by(one: Step, before: list[str], after: list[str]) -> set[str] | None:
+    """Columns whose cells a step may have changed; None if rows went, or names."""
+    if one["op"] in ROW_STEPS or one["op"] in ("rename", "missing_codes"):
+        return None
+    return ({c for c in (one.get("column"), one.get("new"), *one.get("targets", [])) if c in after} if one["op"] in _RUN else set()) | (set(after) - set(before))
+
+
 def with_row_ids(df: DataFrame, name: str = ROW) -> DataFrame:
-    """Marks the order of reading; ids rise but are not consecutive. Write or persist before relying on it twice."""
+    """Marks the order of reading; ids rise but are not consecutive. A run checkpoints them before it relies on them twice."""
     return df if name in df.columns else df.withColumn(name, F.monotonically_increasing_id())
 
 
@@ -90,10 +101,12 @@ def to_boolean(df: DataFrame, column: str) -> DataFrame:
 
 
 @step
-def map_labels(df: DataFrame, column: str, mapping: dict[str, str]) -> DataFrame:
-    if len(mapping) <= SMALL_MAP:
-        return _put(df, column, X.map_values(X.named(column), mapping))
-    table = df.sparkSession.createDataFrame(list(mapping.items()), "_from string, _to string")
+def map_labels(df: DataFrame, column: str, mapping: dict[str, str] | None = None, path: str | None = None) -> DataFrame:
+    """Spellings by a map, or by a table (_from, _to) that is joined."""
+    if path is None and len(mapping or {}) <= SMALL_MAP:
+        return _put(df, column, X.map_values(X.named(column), mapping or {}))
+    spark = df.sparkSession
+    table = spark.read.parquet(path) if path else spark.createDataFrame(list(mapping.items()), "_from string, _to string")
     joined = df.join(table, X.named(column) == F.col("_from"), "left")
     return joined.withColumn(column, F.coalesce("_to", X.named(column))).select(*map(X.named, df.columns))
 

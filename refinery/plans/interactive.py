@@ -8,7 +8,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import features
+from ..operators import features, steps
 from ..operators.profile import histogram, profile, top_values
 from . import pipeline as P
 from .cards import Card, Stage, Status
@@ -56,12 +56,14 @@ class Session:
                 card.resolve(answers[card.card_id], note=(notes or {}).get(card.card_id))
 
         P.counted(self.state, stage, lambda: P.resolve(self.state, cards, decide))
-        self.state.profiles = profile(self.state.df, self.state.thresholds)
+        self.state.refresh()
         return cards
 
     def transform(self, column: str, action: str, **options: Any) -> Card:
         """One transform on demand, logged and put into the plan."""
+        before = self.state.names()
         self.state.df, card, one = features.on_demand(self.state.df, column, action, **options)
+        self.state.changed(steps.changed_by(one, before, self.state.names()), False)
         self.state.log.add(card)
         self.state.plan.add(one, str(card.stage), card.card_id, action)
         return card
@@ -83,7 +85,7 @@ class Session:
     def finalize(self, folder: str) -> dict[str, Any]:
         for stage in list(self._open):
             self.resolve(stage)
-        self.state.profiles = profile(self.state.df, self.state.thresholds)
+        self.state.refresh()
         return P.write_all(self.state, folder)
 
 

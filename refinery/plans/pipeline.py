@@ -16,6 +16,7 @@ from ..operators import companions, duplicates, features, missing, outliers, ste
 from ..operators.format import resolve_formats, snake_case
 from ..operators.profile import Profile, profile, summary_card
 from ..operators.steps import ROW, Step
+from ..session import checkpoint
 from ..sources import writers
 from ..sources.readers import load
 from .cards import Card, Decide, Log, Stage, Status, Thresholds
@@ -58,10 +59,42 @@ class State:
     rows: list[StageRows] = field(default_factory=list)
     thresholds: Thresholds = field(default_factory=Thresholds)
     artifacts: str | None = None
+    #: Rows of the table, if they are known.
+    n: int | None = None
+    #: Columns whose profiles no longer hold, or None for all.
+    stale: set[str] | None = None
 
     def names(self) -> list[str]:
         return [c for c in self.df.columns if c != ROW]
 
+    def run(self, one: Step) -> None:
+        """Applies a step, and notes what it may have changed."""
+        before = self.names()
+        self.df = steps.run(self.df, one)
+        self.changed(steps.changed_by(one, before, self.names()), one["op"] in steps.ROW_STEPS)
+
+    def changed(self, columns: set[str] | None, rows: bool) -> None:
+        self.stale = None if columns is None or self.stale is None else self.stale | columns
+        if rows:
+            self.n = None
+
+    def refresh(self) -> dict[str, Profile]:
+        """Profiles of the table as it is; those of columns that have not changed are kept."""
+        known = {} if self.stale is None else {c: p for c, p in self.profiles.items() if c not in self.stale}
+        self.profiles, self.stale = profile(self.df, self.thresholds, known), set()
+        if self.profiles:
+            self.n = next(iter(self.profiles.values())).n_total
+        return self.profiles
+
+    def count(self) -> int:
+        if self.n is None:
+            self.n = self.df.count()
+        return self.n
+
+    def settle(self) -> None:
+        """Cuts the lineage, so that no later scan does again what was done so far."""
+        self.df = checkpoint(self.df)
+
 
 def _fit(state: State, card: Card) -> list[Step]:
     path = f"{state.artifacts}/{card.card_id}.shares" if state.artifacts else None
@@ -99,15 +132,17 @@ def resolve(state: State, cards: list[Card], decide: Decide | None = None) -> No
         done = _fit(state, card)
         card.metadata.setdefault("applied_info", {})["n_steps"] = len(done)
         for one in done:
-            state.df = steps.run(state.df, one)
+            state.run(one)
             state.plan.add(one, str(card.stage), card.card_id, card.action_taken or "")
 
 
 def counted(state: State, stage: Stage, work: Callable[[], None]) -> None:
-    n = state.rows[-1].rows_out if state.rows else state.df.count()
-    before = len(state.names())
+    """Does the work of a stage and notes its rows and columns; rows are counted again only where some may have gone."""
+    n, before = state.rows[-1].rows_out if state.rows else state.count(), len(state.names())
     work()
-    state.rows.append(StageRows(str(stage), n, before, state.df.count(), len(state.names())))
+    if state.n is None:
+        state.settle()
+    state.rows.append(StageRows(str(stage), n, before, state.count(), len(state.names())))
 
 
 def run_stage(state: State, stage: Stage, decide: Decide | None = None) -> list[Card]:
@@ -117,7 +152,7 @@ def run_stage(state: State, stage: Stage, decide: Decide | None = None) -> list[
 
 
 def run_profile(state: State) -> None:
-    state.profiles = profile(state.df, state.thresholds)
+    state.refresh()
     state.first_profiles = state.first_profiles or state.profiles
     counted(state, Stage.PROFILE, lambda: state.log.add(summary_card(state.profiles)))
 
@@ -130,7 +165,10 @@ def run_companions(state: State, decide: Decide | None = None) -> None:
                 decide(card)
             if card.status == Status.PENDING:
                 card.resolve()
+            before = state.df
             state.df = companions.apply(state.df, card, state.companions)
+            if state.df is not before:
+                state.changed(None, True)
         state.log.add(card)
 
     counted(state, Stage.COMPANION, work)
@@ -138,7 +176,10 @@ def run_companions(state: State, decide: Decide | None = None) -> None:
 
 def run_format(state: State) -> None:
     def work() -> None:
-        state.df, cards, done = resolve_formats(state.df, state.profiles, state.thresholds)
+        state.df, cards, done = resolve_formats(state.df, state.refresh(), state.thresholds, state.artifacts)
+        names = [c for c in state.names()]
+        for one in done:
+            state.changed(steps.changed_by(one, names, names), False)
         state.log.extend(cards)
         for card, one in zip(cards, done, strict=True):
             state.plan.add(one, "format", card.card_id, card.action_taken or "")
@@ -147,13 +188,16 @@ def run_format(state: State) -> None:
                 state.plan.target = state.target
 
     counted(state, Stage.FORMAT, work)
-    state.profiles = profile(state.df, state.thresholds)
+    if len(state.log.by_stage(Stage.FORMAT)):
+        state.settle()
+    state.refresh()
 
 
 def open_state(spark: SparkSession, source: str | DataFrame, target: str | None = None, **options: Any) -> State:
     df = source if isinstance(source, DataFrame) else load(spark, source)
     path = None if isinstance(source, DataFrame) else source
-    state = State(steps.with_row_ids(X.blank_nan(df)), target, path, **options)
+    # rows get their ids once: a table that is made again by a lost task could come in another order
+    state = State(checkpoint(steps.with_row_ids(X.blank_nan(df))), target, path, **options)
     state.plan.source, state.plan.target = path, target
     return state
 
@@ -163,20 +207,21 @@ def run_pipeline(
 ) -> State:
     """Profile, companions, format, duplicates, missingness, outliers, binning, scaling, encoding; then artifacts.
 
-    Every stage is fitted on what the one before left. Profiles are taken anew where rows or columns changed.
+    Every stage is fitted on what the one before left. Profiles are taken anew of columns that changed, and of
+    all where rows went; the table is checkpointed when it is read, when formats are settled and where rows went.
     """
     tell = on_event or (lambda name, carried: None)
     state = open_state(spark, source, target, artifacts=out, **options)
     tell("pipeline_start", {"source": state.source, "columns": len(state.names())})
-    again = {Stage.DUPLICATE, Stage.OUTLIER, Stage.BINNING, Stage.SCALING}
+    again = {Stage.DUPLICATE, Stage.MISSINGNESS, Stage.OUTLIER, Stage.BINNING, Stage.SCALING}
     work: list[tuple[Stage, Callable[[], Any]]] = [(Stage.PROFILE, lambda: run_profile(state)), (Stage.COMPANION, lambda: run_companions(state, decide)), (Stage.FORMAT, lambda: run_format(state))]
     work += [(s, lambda s=s: run_stage(state, s, decide)) for s in DETECT]
     for stage, go in work:
         go()
         if stage in again:
-            state.profiles = profile(state.df, state.thresholds)
+            state.refresh()
         tell("stage_done", {"stage": str(stage), "cards": len(state.log.by_stage(stage)), "rows": state.rows[-1].rows_out})
-    state.profiles = profile(state.df, state.thresholds)
+    state.refresh()
     written = write_all(state, out) if out else {}
     tell("pipeline_done", {"decisions": len(state.log), "artifacts": written})
     return state

@@ -17,7 +17,6 @@ from .operators import companions, duplicates, features, intake, missing, outlie
 from .operators import profile as P
 from .operators.format import label_map, resolve_formats, snake_names
 from .plans import pipeline
-from .plans.cards import Thresholds
 from .plans.plan import Plan, replay, verify
 from .sources import writers
 from .streaming.monitor import quality
@@ -229,12 +228,10 @@ def du_panel_rate(spark, sf_dir):
     return rounded(one_row(spark, "rate double, card_id string", card.metadata["collision_rate"], card.card_id), "rate")
 
 
-@query("SELECT l_orderkey AS key, count(DISTINCT l_returnflag) > 1 AS flag_differs, count(DISTINCT l_linestatus) > 1 AS status_differs FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1 ORDER BY 1 LIMIT 50) GROUP BY 1")
+@query("SELECT l_orderkey AS key, count(*) AS n, count(DISTINCT l_returnflag) > 1 AS flag_differs, count(DISTINCT l_linestatus) > 1 AS status_differs FROM lineitem GROUP BY 1 HAVING count(*) > 1")
 def du_diff_columns(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem")
-    keys = [r["key"] for r in duplicates.collisions(df, "l_orderkey").orderBy("key").limit(50).collect()]
-    found = duplicates.differing_columns(df, "l_orderkey", keys, ["l_returnflag", "l_linestatus"])
-    return spark.createDataFrame([(k, "l_returnflag" in v, "l_linestatus" in v) for k, v in found.items()], "key long, flag_differs boolean, status_differs boolean")
+    found = duplicates.differing_columns(table(spark, sf_dir, "lineitem"), "l_orderkey", ["l_returnflag", "l_linestatus"])
+    return found.select("key", "n", F.array_contains("differ", "l_returnflag").alias("flag_differs"), F.array_contains("differ", "l_linestatus").alias("status_differs"))
 
 
 @query("SELECT event_id, user_id FROM events WHERE user_id <> 7 OR event_id = (SELECT max(event_id) FROM events WHERE user_id = 7)")
@@ -308,7 +305,7 @@ def ms_drop_variable(spark, sf_dir):
 @query()
 def ms_mice(spark, sf_dir):
     df = dirty(spark, sf_dir, "lineitem_dirty").select("l_orderkey", "l_partkey", "qty", "price")
-    return steps.run(df, missing.fit_chain(df, "price", Thresholds(mice_rounds=3)))
+    return steps.run(df, missing.fit_chain(df, "price"))
 
 
 # outliers
@@ -436,7 +433,7 @@ def in_positional(spark, sf_dir):
 
 @query("SELECT * FROM (VALUES ('customer','primary_data'), ('labels','target'), ('sample_submission','template'), ('nation','target')) t(name, role)")
 def in_roles(spark, sf_dir):
-    t = {"customer": table(spark, sf_dir, "customer"), "labels": table(spark, sf_dir, "labels").limit(10), "sample_submission": table(spark, sf_dir, "region"), "nation": table(spark, sf_dir, "nation")}
+    t = {"customer": table(spark, sf_dir, "customer"), "labels": table(spark, sf_dir, "labels"), "sample_submission": table(spark, sf_dir, "region"), "nation": table(spark, sf_dir, "nation")}
     return spark.createDataFrame([(n, str(r)) for n, r in intake.propose(t).roles.items()], "name string, role string")
 
 

@@ -37,11 +37,11 @@ def save_clean(df: DataFrame, original: str | None, folder: str, name: str = "cl
 
 
 def label_codes(df: DataFrame, column: str, new: str = "label") -> DataFrame:
-    """Codes of the sorted distinct values, -1 for missing."""
-    from pyspark.sql import Window
+    """Codes of the sorted distinct values, numbered by ranges, -1 for missing."""
+    from ..operators.intake import numbered
 
     kinds = df.select(X.named(column).alias("_value")).filter("_value is not null").distinct()
-    codes = kinds.withColumn("_code", F.row_number().over(Window.orderBy("_value")) - 1)
+    codes = numbered(kinds, ["_value"]).select("_value", F.col("_pos").cast("int").alias("_code"))
     return df.join(codes, X.named(column) == F.col("_value"), "left").withColumn(new, F.coalesce("_code", F.lit(-1))).drop("_value", "_code")
 
 
