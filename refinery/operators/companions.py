@@ -92,3 +92,19 @@ def apply(df: DataFrame, card: Card, ids: DataFrame | None) -> DataFrame:
     if action == "include_path" and ids is not None and "path" in ids.columns:
         return add_files(df, card.metadata["template"], ids)
     return df
+
+
+#: What companion files can be; columns named after them carry files, not data.
+FILE_KINDS = ["file", "image", "audio", "text", "video"]
+
+
+def plumbing(card: Card, names: list[str]) -> list[str]:
+    """Columns that only connect rows with their files: not in tabular results unless they were asked for."""
+    if str(card.status) == "skipped":
+        return []
+    out = {"companion_path", "has_companion"}
+    if card.action_taken != "include_path":
+        out |= {f"{k}_path" for k in FILE_KINDS}
+    if card.action_taken != "add_indicator":
+        out |= {f"has_{k}" for k in FILE_KINDS}
+    return [n for n in names if n in out]

@@ -178,3 +178,35 @@ def confirm(tables: dict[str, DataFrame], proposal: Proposal) -> Intake:
 
 def ingest(tables: dict[str, DataFrame]) -> Intake:
     return confirm(tables, propose(tables))
+
+
+@dataclass
+class Staged:
+    """Tables that were read, with proposed roles; more than one table waits to be confirmed."""
+
+    tables: dict[str, DataFrame]
+    proposal: Proposal
+    confirmed: Intake | None = None
+
+    @property
+    def needs_confirmation(self) -> bool:
+        return self.confirmed is None and len(self.tables) > 1
+
+    def confirm(self, roles: dict[str, Role | str] | None = None, **changes: object) -> Intake:
+        """Settles roles (and keys, key_map, na_values) as given, the rest as proposed."""
+        for name, role in (roles or {}).items():
+            if name not in self.tables:
+                raise KeyError(name)
+            self.proposal.roles[name] = Role(role)
+        for what, value in changes.items():
+            setattr(self.proposal, what, value)
+        self.confirmed = confirm(self.tables, self.proposal)
+        return self.confirmed
+
+
+def staged(tables: dict[str, DataFrame]) -> Staged:
+    """Proposes roles; one table by itself is settled at once."""
+    out = Staged(tables, propose(tables))
+    if len(tables) == 1:
+        out.confirm()
+    return out

@@ -11,6 +11,11 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .wording import label, options
+
+
+# Names of stages, kinds and states, as they stand in logs.
+
 
 class Stage(StrEnum):
     PROFILE = "profile"
@@ -93,48 +98,6 @@ class Thresholds:
     distinct_batch: int = 8
 
 
-#: Readable names of actions.
-LABELS = {
-    "continue": "Go on",
-    "drop_variable": "Drop the column",
-    "drop_rows": "Drop the rows",
-    "leave_as_is": "Leave as it is",
-    "inspect": "Look at it by hand",
-    "median_impute": "Fill with the median",
-    "mean_impute": "Fill with the mean",
-    "mode_impute": "Fill with the most frequent value",
-    "regression_impute": "Fill by chained regressions",
-    "flag_missing_indicator": "Add a column that marks missing cells",
-    "treat_as_missing": "Set flagged values to missing",
-    "winsorize": "Limit values to the fences",
-    "remove_all_duplicates": "Keep the first of equal rows",
-    "keep_all_duplicates": "Keep all rows",
-    "drop_all_duplicate_rows": "Drop every copy",
-    "merge_keep_first": "Keep the first row of the key",
-    "merge_keep_last": "Keep the last row of the key",
-    "keep_all": "Keep all rows of the key",
-    "keep_rows": "Keep rows without a file",
-    "add_indicator": "Mark rows without a file",
-    "flag_caveat": "Note it in the report",
-    "exclude_path": "Leave the file path out",
-    "include_path": "Add the file path",
-    "quantile_bin": "Bins of equal counts",
-    "equal_width_bin": "Bins of equal width",
-    "natural_breaks_bin": "Bins at natural breaks",
-    "skip": "Do nothing",
-    "standard_scale": "Scale to mean 0 and deviation 1",
-    "minmax_scale": "Scale to 0 to 1",
-    "robust_scale": "Scale by median and quartiles",
-    "log_scale": "Logarithm of 1 + x",
-    "frequency_encode": "Replace by relative frequency",
-    "datetime_decompose": "Split into calendar parts",
-}
-
-
-def label(action: str) -> str:
-    return LABELS.get(action, action.replace("_", " ").capitalize())
-
-
 def now() -> str:
     return datetime.now(UTC).isoformat(timespec="seconds")
 
@@ -176,12 +139,12 @@ class Card:
 
     def options(self) -> list[dict[str, Any]]:
         best = self.recommended_action or self.default_action
-        return [{"action": a, "label": label(a), "description": label(a), "recommended": a == best} for a in dict.fromkeys([self.default_action, *self.alternatives])]
+        return options([self.default_action, *self.alternatives], best, self.stage)
 
     def to_dict(self) -> dict[str, Any]:
         out = asdict(self) | {"stage": str(self.stage), "status": str(self.status)}
         best = self.recommended_action or self.default_action
-        out |= {"recommended_action": best, "recommended_label": label(best), "options": self.options(), "action_taken_label": label(self.action_taken) if self.action_taken else None}
+        out |= {"recommended_action": best, "recommended_label": label(best, self.stage), "options": self.options(), "action_taken_label": label(self.action_taken, self.stage) if self.action_taken else None}
         return out
 
 

@@ -12,14 +12,16 @@ from ..operators import features, steps
 from ..operators.profile import histogram, profile, top_values
 from . import pipeline as P
 from .cards import Card, Stage, Status
+from .hooks import DESCRIBE_SECONDS, Hooks
 
 SIX_HOURS = 6 * 3600
 
 
 class Session:
-    def __init__(self, spark: SparkSession, source: str | DataFrame, target: str | None = None, **options: Any):
+    def __init__(self, spark: SparkSession, source: str | DataFrame, target: str | None = None, hooks: Hooks | None = None, **options: Any):
         self.spark, self.source, self.target, self.options = spark, source, target, options
         self.documents: dict[str, str] = {}
+        self.hooks = hooks or Hooks()
         self.reset()
 
     def reset(self) -> None:
@@ -77,7 +79,19 @@ class Session:
             out["histogram"] = [r.asDict() for r in histogram(df, column).orderBy("bin").collect()]
         else:
             out["top_values"] = top_values(df, column, 15)
-        return out | {"description": describe(self.documents, column)}
+        return out | {"description": describe(self.documents, column) or self.hooks.ask("describe", column, out, seconds=DESCRIBE_SECONDS)}
+
+    def descriptions(self) -> dict[str, str | None]:
+        """A line about each column: from the documents, else from the hook, all within its budget of time."""
+        found = {c: describe(self.documents, c) for c in self.state.names()}
+        open_ones = [c for c, text in found.items() if text is None]
+        profiles = self.state.profiles
+        asked = self.hooks.ask_all("describe", [(c, profiles[c].to_dict() if c in profiles else {}) for c in open_ones])
+        return found | dict(zip(open_ones, asked, strict=True))
+
+    def chat(self, question: str) -> str | None:
+        """An answer about the run, if a hook gives one."""
+        return self.hooks.ask("chat", question, P.context(self.state))
 
     def status(self) -> dict[str, Any]:
         return self.state.log.counts() | {"pending": sum(len(c) for c in self._open.values()), "rows": self.state.rows[-1].rows_out if self.state.rows else None}

@@ -59,6 +59,9 @@ class State:
     rows: list[StageRows] = field(default_factory=list)
     thresholds: Thresholds = field(default_factory=Thresholds)
     artifacts: str | None = None
+    #: The table as it was read, and what the intake of several tables has to say.
+    raw: DataFrame | None = None
+    notes: list[str] = field(default_factory=list)
     #: Rows of the table, if they are known.
     n: int | None = None
     #: Columns whose profiles no longer hold, or None for all.
@@ -198,7 +201,7 @@ def open_state(spark: SparkSession, source: str | DataFrame, target: str | None
     path = None if isinstance(source, DataFrame) else source
     # rows get their ids once: a table that is made again by a lost task could come in another order
     state = State(checkpoint(steps.with_row_ids(X.blank_nan(df))), target, path, **options)
-    state.plan.source, state.plan.target = path, target
+    state.plan.source, state.plan.target, state.raw = path, target, state.df
     return state
 
 
@@ -227,25 +230,36 @@ def run_pipeline(
     return state
 
 
+def context(state: State) -> dict[str, Any]:
+    """What one needs to know of a run to talk about it: columns, findings and decisions, no rows."""
+    columns = [{"name": p.name, "type": str(p.kind), "missing_rate": round(p.missing_rate, 4), "n_unique": p.n_unique, "flags": p.flags} for p in state.profiles.values()]
+    decisions = [{"card": c.card_id, "stage": str(c.stage), "variable": c.variable, "issue": c.issue, "action": c.action_taken, "status": str(c.status)} for c in state.log]
+    return {"source": state.source, "target": state.target, "rows": state.count(), "columns": columns, "decisions": decisions, "stages": [vars(r) for r in state.rows]}
+
+
 def run_id() -> str:
     return datetime.now(UTC).strftime("%Y%m%d-%H%M%S-") + uuid.uuid4().hex[:6]
 
 
 def write_all(state: State, folder: str, skip: tuple[str, ...] = (), check: bool = True) -> dict[str, Any]:
     """All artifacts; a writer that fails is reported and the others go on."""
+    from .pdf import pdf
     from .report import flow_svg, markdown
 
     os.makedirs(folder, exist_ok=True)
     done: dict[str, Any] = {"errors": {}}
 
-    def text(name: str, content: str) -> str:
-        with open(f"{folder}/{name}", "w", encoding="utf-8") as f:
-            f.write(content)
+    def text(name: str, content: str | bytes) -> str:
+        with open(f"{folder}/{name}", "wb") as f:
+            f.write(content if isinstance(content, bytes) else content.encode())
         return f"{folder}/{name}"
 
+    plumbing = [c for card in state.log.by_stage(Stage.COMPANION) for c in companions.plumbing(card, state.names())]
+
     spark = state.df.sparkSession
     work: dict[str, Callable[[], Any]] = {
-        "clean": lambda: writers.save_clean(state.df, state.source, folder),
+        "raw": lambda: writers.save_clean(state.raw, None, folder, "raw_intake"),
+        "clean": lambda: writers.save_clean(state.df.drop(*plumbing), state.source, folder),
         "decisions": lambda: state.log.write(f"{folder}/decisions.json"),
         "profile": lambda: writers.write_json({k: v.to_dict() for k, v in state.profiles.items()}, f"{folder}/profile.json"),
         "plan": lambda: text("plan.json", state.plan.to_json()),
@@ -253,6 +267,8 @@ def write_all(state: State, folder: str, skip: tuple[str, ...] = (), check: bool
         "requirements": lambda: writers.requirements(folder),
         "flow": lambda: text("flow.svg", flow_svg(state)),
         "report": lambda: text("report.md", markdown(state)),
+        "pdf": lambda: text("report.pdf", pdf(markdown(state))),
+        "context": lambda: writers.write_json(context(state), f"{folder}/context.json"),
     }
     if check and state.source:
         work["verified"] = lambda: verify(state.df, replay(spark, state.plan, state.source))
