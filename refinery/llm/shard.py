@@ -5,8 +5,9 @@ sizes as near equal as whole groups allow. Groups go into buckets by hash.
 Inside a bucket, differencing keeps a heap of partial partitions (k sums each)
 and repeatedly combines the two with the largest spread, the largest sum of
 one with the smallest of the other. The buckets' results are such partial
-partitions themselves, so the driver combines them by the same rule, reading
-only k numbers a bucket. A group larger than an even share of what is left
+partitions themselves and are combined by the same rule: in tasks while there
+are many, at last by the driver, which reads k numbers of each of
+``MOST_PARTIALS`` at most. A group larger than an even share of what is left
 gets a shard of its own first; there are fewer than k of those.
 
 Slots are numbered in two levels: counts per (slice of ids, shard) give the
@@ -28,7 +29,10 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 GROUPS_A_BUCKET = 20_000
-MOST_BUCKETS = 65_536
+#: Partial partitions that one task, or the driver, combines.
+MOST_PARTIALS = 16_384
+#: Rows for each slice of slot numbers, and the least number of slices.
+ROWS_A_SLICE, LEAST_SLICES = 50_000, 512
 
 
 def difference(sizes: list[int], k: int) -> tuple[list[int], list[int]]:
@@ -104,7 +108,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24) -> DataFrame:
     n, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     alone = [bytes(g) for g in _oversized(groups.orderBy(F.desc("size"), "gid").limit(shards).collect(), total, shards)]
     k = shards - len(alone)
-    buckets = min(MOST_BUCKETS, 1 + n // GROUPS_A_BUCKET)
+    buckets = 1 + n // GROUPS_A_BUCKET
     rest = groups.filter(~F.col("gid").isin(alone)) if alone else groups
 
     def combine(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -112,23 +116,42 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24) -> DataFrame:
         bins, _ = difference(pdf["size"].tolist(), k)
         return pd.DataFrame({"gid": pdf["gid"], "size": pdf["size"], "bucket": key[0], "bin": bins})
 
-    bucket = F.pmod(F.xxhash64("gid"), F.lit(buckets)).cast("int")
-    binned = checkpoint(rest.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(combine, "gid binary, size long, bucket int, bin int"))
-    sums: dict[int, list[int]] = {}
-    for r in binned.groupBy("bucket", "bin").agg(F.sum("size").alias("size")).collect():  # k numbers a bucket
-        sums.setdefault(r.bucket, [0] * k)[r.bin] = r.size
-    names = sorted(sums)
-    where, _ = difference_partials([tuple(sums[b]) for b in names], k)
-    at = [(b, j, len(alone) + where[i][j]) for i, b in enumerate(names) for j in range(k)]
-    places = spark.createDataFrame(at, "bucket int, bin int, shard int")
-    placed = binned.join(F.broadcast(places) if len(at) <= 100_000 else places, ["bucket", "bin"]).select("gid", "shard")
+    bucket = F.pmod(F.xxhash64("gid"), F.lit(buckets))
+    binned = checkpoint(rest.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(combine, "gid binary, size long, bucket long, bin int"))
+    by_bin = binned.groupBy("bucket", "bin").agg(F.sum("size").alias("size"))  # k numbers a bucket
+    sums = by_bin.groupBy("bucket").agg(*(F.coalesce(F.max(F.when(F.col("bin") == j, F.col("size"))), F.lit(0)).alias(f"s{j}") for j in range(k)))
+    places = _places(checkpoint(sums.select("bucket", F.array(*(f"s{j}" for j in range(k))).alias("sums"))), buckets, k)
+    places = places.select("bucket", F.posexplode("place").alias("bin", "place"))
+    placed = binned.join(places, ["bucket", "bin"]).select("gid", (F.col("place") + len(alone)).cast("int").alias("shard"))
     if alone:
         placed = placed.unionByName(spark.createDataFrame([(bytearray(g), i) for i, g in enumerate(alone)], "gid binary, shard int"))
     return _slots(rows.join(placed, "gid"))
 
 
-def _slots(rows: DataFrame, slices: int = 512) -> DataFrame:
+def _places(sums: DataFrame, buckets: int, k: int) -> DataFrame:
+    """bucket and place (the final bin of each of its bins) from each bucket's sums, combined level by level."""
+    spark = sums.sparkSession
+    if buckets <= MOST_PARTIALS:
+        found = sorted((r.bucket, tuple(r.sums)) for r in sums.collect())
+        where, _ = difference_partials([s for _, s in found], k)
+        return spark.createDataFrame([(b, w) for (b, _), w in zip(found, where, strict=True)], "bucket long, place array<int>")
+
+    def combine(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bucket")
+        where, total = difference_partials([tuple(map(int, s)) for s in pdf["sums"]], k)
+        return pd.DataFrame({"up": key[0], "bucket": pdf["bucket"].tolist(), "inner": where, "total": [total] * len(pdf)})
+
+    many = -(-buckets // MOST_PARTIALS)
+    step = sums.withColumn("up", F.pmod("bucket", F.lit(many))).groupBy("up").applyInPandas(combine, "up long, bucket long, inner array<int>, total array<long>")
+    step = checkpoint(step)
+    above = checkpoint(step.groupBy(F.col("up").alias("bucket")).agg(F.first("total").alias("sums")))
+    over = _places(above, many, k).select(F.col("bucket").alias("up"), F.col("place").alias("outer"))
+    return step.join(over, "up").select("bucket", F.transform("inner", lambda j: F.col("outer")[j]).alias("place"))
+
+
+def _slots(rows: DataFrame) -> DataFrame:
     """Adds slot, gapless from 0 in each shard."""
+    slices = max(LEAST_SLICES, rows.count() // ROWS_A_SLICE)
     rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "gid"), F.lit(slices)).cast("int"))
     rows = checkpoint(rows)
     counts = rows.groupBy("slice", "shard").agg(F.count(F.lit(1)).alias("n"))
