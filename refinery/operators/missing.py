@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from typing import Any
 
 import numpy as np
@@ -131,57 +130,81 @@ def ridge(gram: np.ndarray, cross: np.ndarray, yy: float, n: int, rounds: int =
     return w
 
 
-def fit_chain(df: DataFrame, column: str, t: Thresholds = Thresholds(), cut: Callable[[DataFrame], DataFrame] | None = None) -> Step:
+#: Patterns of missing cells up to which all rounds are computed from one scan.
+MOST_PATTERNS = 4096
+
+
+def fit_chain(df: DataFrame, column: str, t: Thresholds = Thresholds()) -> Step:
     """Chained Bayesian ridge regressions over the numeric columns.
 
-    Each equation needs sums of products only, which one aggregation gives; the driver solves a system as
-    wide as there are numeric columns. ``cut`` cuts lineage between rounds (a checkpoint, on long chains).
+    Rows in which the same cells are missing have imputed values that are one linear function of what they have,
+    in every round. So one aggregation of sums of products by pattern of missing cells is all that the rounds
+    need; the driver solves systems as wide as there are numeric columns.
     """
     df = X.blank_nan(df)
-    names = [f.name for f in df.schema.fields if X.is_numeric(f.dataType) and f.name != ROW]
-    row = df.agg(*(F.avg(X.named(n).cast("double")).alias(f"m{i}") for i, n in enumerate(names)), *(F.count_if(X.named(n).isNull()).alias(f"n{i}") for i, n in enumerate(names))).first()
-    names = [n for i, n in enumerate(names) if row[f"m{i}"] is not None]
-    starts = {n: row[f"m{i}"] for i, n in enumerate([f.name for f in df.schema.fields if X.is_numeric(f.dataType) and f.name != ROW]) if n in names}
-    gaps = {n: row[f"n{i}"] for i, n in enumerate([f.name for f in df.schema.fields if X.is_numeric(f.dataType) and f.name != ROW]) if n in names}
+    numeric = [f.name for f in df.schema.fields if X.is_numeric(f.dataType) and f.name != ROW]
+    row = df.agg(*(F.avg(X.named(n).cast("double")).alias(f"m{i}") for i, n in enumerate(numeric)), *(F.count_if(X.named(n).isNull()).alias(f"n{i}") for i, n in enumerate(numeric))).first()
+    names = [n for i, n in enumerate(numeric) if row[f"m{i}"] is not None]
+    starts = {n: row[f"m{numeric.index(n)}"] for n in names}
+    gaps = {n: row[f"n{numeric.index(n)}"] for n in names}
     order = sorted((n for n in names if gaps[n]), key=lambda n: (gaps[n], names.index(n)))
-    if not order:
-        return {"op": "chained_fill", "targets": [], "starts": starts, "rounds": []}
-    v, m = {n: f"v{i}" for i, n in enumerate(names)}, {n: f"g{i}" for i, n in enumerate(names)}
-    state = df.select(*(F.coalesce(X.named(n).cast("double"), F.lit(starts[n])).alias(v[n]) for n in names), *(X.named(n).isNull().alias(m[n]) for n in order))
+    rounds = _rounds(_moments(df, names, order, starts), names, order, starts, t.mice_rounds) if order else []
+    return {"op": "chained_fill", "targets": order if t.mice_fill_all else [c for c in order if c == column], "starts": starts, "rounds": rounds}
+
+
+def _moments(df: DataFrame, names: list[str], order: list[str], starts: dict[str, float]) -> dict[tuple[bool, ...], np.ndarray]:
+    """By pattern (which columns of ``order`` are missing): sums of products of 1 and the centred columns, missing ones 0."""
+    centred = [F.coalesce(X.named(n).cast("double") - F.lit(starts[n]), F.lit(0.0)).alias(f"v{i}") for i, n in enumerate(names)]
+    flags = F.concat(*(F.when(X.named(n).isNull(), F.lit("1")).otherwise(F.lit("0")) for n in order)).alias("pattern")
+    m = len(names)
+    sums = [F.count(F.lit(1)).cast("double").alias("n"), *(F.sum(f"v{i}").alias(f"s{i}") for i in range(m))]
+    sums += [F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"p{i}_{j}") for i in range(m) for j in range(i, m)]
+    grouped = df.select(flags, *centred).groupBy("pattern").agg(*sums)
+    found = grouped.limit(MOST_PATTERNS + 1).collect()
+    if len(found) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns of missing cells in {len(order)} columns; fill or drop some of them first")
+    out = {}
+    for r in found:
+        z = np.empty((m + 1, m + 1))
+        z[0, 0] = r.n
+        for i in range(m):
+            z[0, i + 1] = z[i + 1, 0] = r[f"s{i}"]
+            for j in range(i, m):
+                z[i + 1, j + 1] = z[j + 1, i + 1] = r[f"p{i}_{j}"]
+        out[tuple(c == "1" for c in r.pattern)] = z
+    return out
+
+
+def _rounds(moments: dict[tuple[bool, ...], np.ndarray], names: list[str], order: list[str], starts: dict[str, float], rounds: int) -> list[dict[str, Any]]:
+    """The equations of all rounds, in the order in which they are applied."""
+    m = len(names)
+    # the columns (centred) of a pattern's rows as functions of 1 and what the rows have; missing ones start at the mean
+    made = {}
+    for pattern in moments:
+        made[pattern] = np.concatenate([np.zeros((m, 1)), np.eye(m)], axis=1)
+        for n, gone in zip(order, pattern, strict=True):
+            if gone:
+                made[pattern][names.index(n)] = 0.0
+    center = np.array([starts[n] for n in names])
     equations: list[dict[str, Any]] = []
-    scale = max(1e-12, *(abs(x) for x in starts.values()))
-    for _ in range(t.mice_rounds):
-        change = 0.0
-        for n in order:
-            others = [o for o in names if o != n]
-            seen = state.filter(~F.col(m[n]))
-            center = {o: starts[o] for o in names}
-            d = {o: F.col(v[o]) - F.lit(center[o]) for o in names}
-            sums = [F.count(F.lit(1)).alias("n"), *(F.sum(d[o]).alias(f"s{i}") for i, o in enumerate(names))]
-            sums += [F.sum(d[a] * d[b]).alias(f"p{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
-            got = seen.agg(*sums).first()
-            count = got["n"]
+    for _ in range(rounds):
+        for k, n in enumerate(order):
+            seen = [p for p in moments if not p[k]]
+            count = sum(moments[p][0, 0] for p in seen)
             if not count:
                 continue
-            s = np.array([got[f"s{i}"] for i in range(len(names))])
-            p = np.array([[got[f"p{min(i, j)}_{max(i, j)}"] for j in range(len(names))] for i in range(len(names))]) - np.outer(s, s) / count
-            y, xs = names.index(n), [names.index(o) for o in others]
-            w = ridge(p[np.ix_(xs, xs)], p[xs, y], float(p[y, y]), count)
-            means = {o: center[o] + s[names.index(o)] / count for o in names}
-            offset = means[n] - sum(a * means[o] for a, o in zip(w, others, strict=True))
-            equation = {"column": n, "offset": float(offset), "weights": {o: float(a) for a, o in zip(w, others, strict=True)}}
-            equations.append(equation)
-            value = F.lit(equation["offset"])
-            for o, a in equation["weights"].items():
-                value = value + F.lit(a) * F.col(v[o])
-            moved = state.withColumn("_new", value)
-            change = max(change, moved.agg(F.max(F.when(F.col(m[n]), F.abs(F.col("_new") - F.col(v[n]))))).first()[0] or 0.0)
-            state = state.withColumn(v[n], F.when(F.col(m[n]), value).otherwise(F.col(v[n])))
-        if cut is not None:
-            state = cut(state)
-        if change < 1e-3 * scale:
-            break
-    return {"op": "chained_fill", "targets": order if t.mice_fill_all else [c for c in order if c == column], "starts": starts, "rounds": equations}
+            s = sum(made[p] @ moments[p][:, 0] for p in seen)
+            products = sum(made[p] @ moments[p] @ made[p].T for p in seen) - np.outer(s, s) / count
+            y, xs = names.index(n), [i for i in range(m) if names[i] != n]
+            w = ridge(products[np.ix_(xs, xs)], products[xs, y], float(products[y, y]), int(count))
+            shift = s / count
+            offset = shift[y] - w @ shift[xs]  # of the centred columns
+            equations.append({"column": n, "offset": float(offset + center[y] - w @ center[xs]), "weights": {names[i]: float(a) for i, a in zip(xs, w, strict=True)}})
+            for p in moments:
+                if p[k]:
+                    made[p][y] = w @ made[p][xs]
+                    made[p][y, 0] += offset
+    return equations
 
 
 def fit(df: DataFrame, card: Card, t: Thresholds = Thresholds()) -> list[Step]:

@@ -30,9 +30,11 @@ def step(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
 
 def run(df: DataFrame, one: Step) -> DataFrame:
-    """Applies a step; a step on a column that is not there changes nothing."""
+    """Applies a step; a step on a column that is not there, or by a key that is not there, changes nothing."""
     params = {k: v for k, v in one.items() if k not in ("op", "stage", "card_id", "action", "note")}
-    needed = [params[k] for k in ("column",) if k in params]
+    needed = [*([params["column"]] if "column" in params else []), *params.get("keys", [])]
+    if "order" in params:
+        params["order"] = [c for c in params["order"] if c in df.columns] or [c for c in df.columns]
     if any(c not in df.columns for c in needed):
         return df
     return _RUN[one["op"]](df, **params)

@@ -158,9 +158,17 @@ def byte_characters(encoding: str) -> dict[str, str]:
 
 
 def _small(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Formats of desk-sized files, read by the driver with optional libraries."""
+    """Formats of desk-sized files, read by the driver with optional libraries; a remote file is fetched first."""
     import pandas as pd
 
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.getScheme() == "file":
+        path = p.toUri().getPath()
+    else:
+        fetched = f"{tempfile.mkdtemp(prefix='refinery-')}/{p.getName()}"
+        files.copyToLocalFile(False, p, spark._jvm.org.apache.hadoop.fs.Path(f"file://{fetched}"))
+        path = fetched
     if kind in (".xlsx", ".xls"):
         frame = pd.read_excel(path)
     elif kind == ".dta":
