@@ -321,9 +321,10 @@ def _settled(members: DataFrame, labels: DataFrame, held: DataFrame, shingle: in
     All pairs of a key are tried, but for those with its hub, which have been, and those of its largest group,
     which are connected. Texts outside that group meet all others of the key, ``SLICE`` by ``SLICE`` in a task.
     """
-    rest = members.filter("own != hub").join(labels, F.col("own") == F.col("node"), "left").select("key", "own", F.coalesce("label", "own").alias("label"))
+    rest = checkpoint(members.filter("own != hub").join(labels, F.col("own") == F.col("node"), "left").select("key", "own", F.coalesce("label", "own").alias("label")))
     open_keys = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
-    rest = checkpoint(rest.join(open_keys, "key", "left_semi"))
+    # written first, so that the join deals both sides itself and a hot key's rows can be split
+    rest = checkpoint(rest.join(checkpoint(open_keys), "key", "left_semi"))
     groups = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     main = groups.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"))
     cut = lambda n: F.ceil(F.col(n) / SLICE).cast("int")
