@@ -72,7 +72,8 @@ def cuts(df: DataFrame, column: str, method: str, bins: int = 4, values: int = 5
 def natural_breaks(values: list[float], bins: int) -> list[float]:
     """Least, middle points between the centres, and greatest of the best grouping of sorted values.
 
-    The grouping of least squared distance is found exactly, by dynamic programming over distinct values.
+    The grouping of least squared distance is found exactly, by dynamic programming over distinct values. The
+    best last group of a longer prefix begins no earlier than that of a shorter one, so each layer halves its ranges.
     """
     kinds, weight = np.unique(np.array(values, np.float64), return_counts=True)
     k = min(bins, len(kinds))
@@ -84,11 +85,17 @@ def natural_breaks(values: list[float], bins: int) -> list[float]:
     splits = []
     for _ in range(1, k):
         after, at = np.full(m + 1, np.inf), np.zeros(m + 1, np.int64)
-        for j in range(1, m + 1):
-            i = np.arange(j)
-            cost = best[:j] + q[j] - q[i] - (s[j] - s[i]) ** 2 / (n[j] - n[i])
-            at[j] = int(cost.argmin())
-            after[j] = cost[at[j]]
+        todo = [(1, m, 0, m - 1)]
+        while todo:
+            low, high, a, b = todo.pop()
+            if low > high:
+                continue
+            j = (low + high) // 2
+            i = np.arange(a, min(b, j - 1) + 1)
+            cost = best[i] + q[j] - q[i] - (s[j] - s[i]) ** 2 / (n[j] - n[i])
+            at[j] = i[cost.argmin()]
+            after[j] = cost.min()
+            todo += [(low, j - 1, a, at[j]), (j + 1, high, at[j], b)]
         splits.append(at)
         best = after
     ends = [m]
