@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, keep: li
     # a component's name: first the smallest id of a fingerprint, then of all its fingerprints
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = checkpoint(least.join(labels, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("label", "fp").alias("label"), "least"))
-    best = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    best = checkpoint(named.groupBy("label").agg(F.min("least").alias("component_id")))  # so that a large component's rows can be split
     owners = named.join(best, "label").select("fp", "component_id")
     return rows.join(owners, "fp").select("doc_id", *(keep or []), "fp", "component_id")
 
