@@ -237,7 +237,7 @@ def find(index: Index, h: np.ndarray, row: np.ndarray, least: float) -> Iterator
             apart = np.bitwise_count(w[spot - at] ^ prints[owner])
             for s, i, bits in zip(spot[may].tolist(), item[may].tolist(), apart[may].tolist(), strict=True):
                 t, k = int(row[s]), len(index.words[i])
-                if s + k <= first[t + 1] and (t, i) not in best and similarity(index, i, h[s : s + k]) >= 1.0:
+                if s + k <= first[t + 1] and (t, i) not in best and similarity(index, i, h[s : s + k]) >= 1.0 - 1e-9:
                     best[t, i] = (1.0, s, bits, k)
     pairs = np.unique(np.concatenate(tried))
     text, item = pairs >> 32, pairs & 0xFFFFFFFF
@@ -255,7 +255,7 @@ def find(index: Index, h: np.ndarray, row: np.ndarray, least: float) -> Iterator
             continue
         s, m = where[0], where[1] - where[0] + SHINGLE
         like = similarity(index, i, h[s : s + m])
-        if like >= least:
+        if like >= least - 1e-9:  # sums of weights are rounded
             size, mine = size_of[i]
             part = h[s : min(s + size, first[t + 1])]  # a text that ends before the class's words are through has fewer
             bits = (int(next(window_prints(part, [len(part)]))[1][0][0]) ^ int(mine)).bit_count()
