@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Marks, checkpoint, mix64, portions, tune
+from .common import Marks, checkpoint, mix64, tune
 from .words import word_hashes
 
 #: Least share of all tokens of a common word.
