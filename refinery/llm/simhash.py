@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, mix64, prefix_for, roll, tune
-from .components import components
+from .components import Union, components
 from .words import word_hashes
 
 SEED = 42
@@ -107,27 +107,6 @@ def _masks_by_word(radius: int, blocks: int) -> tuple[np.ndarray, list[np.ndarra
     return names, [masks[words == w] for w in names]
 
 
-class _Union:
-    """Union-find over positions; numpy where it is cheap, a loop over the few links."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        if i == j:
-            return False
-        self.up[max(i, j)] = min(i, j)
-        return True
-
-
 def links_in_word(fps: np.ndarray, word: int, radius: int, blocks: int, by_word: dict[int, np.ndarray]) -> list[tuple[int, int]]:
     """A spanning forest of the links whose shared variant has this parity word."""
     shift = parity(fps, blocks) ^ np.int32(word)  # the masks that lead here
@@ -136,7 +115,7 @@ def links_in_word(fps: np.ndarray, word: int, radius: int, blocks: int, by_word:
     cuts = np.flatnonzero(np.diff(shift, prepend=-1))
     total = sum(len(by_word[int(shift[c])]) * int(e - c) for c, e in zip(cuts, [*cuts[1:], len(fps)], strict=True))
     parts = 1 << max(0, (-(-total // VARIANTS) - 1).bit_length())  # slices of the variants, so that memory stays bounded
-    found = _Union(len(fps))
+    found = Union(len(fps))
     out = []
     for part in range(parts):
         made, owner = [], []
@@ -292,7 +271,7 @@ def alike_across(label: np.ndarray, build: np.ndarray, texts: pa.Array, shingle:
     flat, owner = flat[order], owner[order]
     size = np.array([len(sets[i]) for i in right])
     names, spot = np.unique(label, return_inverse=True)
-    found, out = _Union(len(names)), []
+    found, out = Union(len(names)), []
     for i in left:
         low = np.searchsorted(flat, sets[i])
         n = np.searchsorted(flat, sets[i], "right") - low

@@ -112,3 +112,27 @@ def test_components(spark):
     got = {r.node: r.label for r in components(edges).collect()}
     assert classes(got) == {frozenset(range(1000, 1301)), frozenset([7, *range(2000, 2400)]), frozenset(range(3000, 3050))}
     assert components(edges.limit(0)).collect() == []
+
+
+def test_few_edges_are_joined_at_once(spark, monkeypatch):
+    """Contraction down to any number of edges gives the same groups; few edges cost the driver few jobs."""
+    import refinery.llm.components as C
+
+    rng = random.Random(8)
+    pairs = [(i, i + 1) for i in range(299)] + [(1000, 1001 + i) for i in range(50)] + [(-5, 2**62)] + [(rng.randrange(5000, 5100), rng.randrange(5000, 5100)) for _ in range(70)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+
+    def groups():
+        out = {}
+        for r in components(edges).collect():
+            out.setdefault(r.label, set()).add(r.node)
+        assert all(k in v for k, v in out.items())
+        return sorted(map(sorted, out.values()))
+
+    spark.sparkContext.setJobGroup("few-edges", "")
+    want = groups()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-edges")) < 15
+    spark.sparkContext.setJobGroup("", "")
+    for few in (0, 40):
+        monkeypatch.setattr(C, "FEW", few, raising=False)
+        assert groups() == want
