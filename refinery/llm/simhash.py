@@ -245,6 +245,19 @@ def band_keys(texts: pa.Array, shingle: int, bands: int, rows: int = ROWS) -> np
     return out
 
 
+def shingle_prints(texts: pa.Array, shingle: int) -> np.ndarray:
+    """SimHash of each text: a bit is set where over half of its shingles' hashes have it."""
+    g, first = shingle_hashes(texts, shingle)
+    n = np.diff(first).astype(np.uint64)
+    out = np.zeros(len(texts), np.uint64)
+    for k in range(32 if len(texts) else 0):  # two bits at a time, counted in the halves of a word
+        k = np.uint64(k)
+        ones = np.add.reduceat((g >> k) & np.uint64(0x100000001), first[:-1])
+        low, high = ones & np.uint64(0xFFFFFFFF), ones >> np.uint64(32)
+        out |= ((low + low > n).astype(np.uint64) << k) | ((high + high > n).astype(np.uint64) << (k + np.uint64(32)))
+    return out
+
+
 def alike(a: str | None, b: str | None, shingle: int) -> float:
     """Jaccard similarity of two texts' sets of word shingles; texts without words are alike."""
     h, row = word_hashes(pa.array([a, b], pa.string()))
@@ -342,12 +355,25 @@ def _settled(members: DataFrame, labels: DataFrame, held: DataFrame, shingle: in
     return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
-def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+def _fingerprint_pairs(prints: DataFrame, radius: int) -> DataFrame:
+    """a, b: texts (own) that their fingerprints (fp) link; the first text of a fingerprint stands for it, the others link to it."""
+    hubs = checkpoint(prints.groupBy("fp").agg(F.min("own").alias("hub")))
+    same = prints.join(hubs, "fp").filter("own != hub").select(F.col("own").alias("a"), F.col("hub").alias("b"))
+    end = lambda fp, name: hubs.select(F.col("fp").alias(fp), F.col("hub").alias(name))
+    links = fingerprint_links(hubs, radius).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
+    near = links.join(end("fa", "a"), "fa").join(end("fb", "b"), "fb").select("a", "b")
+    return checkpoint(same.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 4) -> DataFrame:
     """node, label: text hashes (column own) have one label if links of alike shingles connect them; texts without a link are left out.
 
-    Candidates share a band of minima of their shingles: the chance depends on the pair's similarity alone,
-    not on where the texts differ. Every text of a band key is tried with a hub first; what the exactly verified
-    links leave apart is then tried pair by pair, so nothing is thinned that has not been verified.
+    Near copies are found by SimHash: fingerprints of the shingles that differ in ``radius`` bits or fewer, met in
+    balls, their texts verified. A pair of just ``least`` differs in more bits than balls can bridge, so what these
+    links leave apart has further candidates: texts that share a band of minima of their shingles. That chance
+    depends on the pair's similarity alone, not on where the texts differ. Every text of a band key is tried with
+    a hub first; what the exactly verified links leave apart is then tried pair by pair, so nothing is thinned
+    that has not been verified.
     """
     tune(docs.sparkSession, 250)
     bands = bands_for(least)
@@ -355,20 +381,27 @@ def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = pa.array(band_keys(b.column(1), shingle, bands).view(np.int64).ravel())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * bands), keys)], ["own", "keys"])
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * bands), keys)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shingle_prints(b.column(1), shingle).view(np.int64)), keys], ["own", "fp", "keys"])
 
-    prints = checkpoint(docs.select("own", "text").mapInArrow(run, "own long, keys array<long>").dropDuplicates(["own"]))
+    prints = checkpoint(docs.select("own", "text").mapInArrow(run, "own long, fp long, keys array<long>").dropDuplicates(["own"]))
+    copies = _fingerprint_pairs(prints.select("own", "fp"), radius)
     keyed = prints.select(F.explode("keys").alias("key"), "own")
     mask = F.xxhash64("key")  # another hub in each band
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("own")).alias("who"), F.min(F.col("own").bitwiseXOR(mask)).alias("hub")).filter("n > 1")
     shared = shared.groupBy("n", "who").agg(F.min(F.struct("key", "hub")).alias("one"))  # the same texts in several bands count once
     shared = checkpoint(shared.select("n", F.col("one.key").alias("key"), F.col("one.hub").alias("hub")))
     members = checkpoint(keyed.join(shared, "key").select("key", "own", F.col("hub").bitwiseXOR(mask).alias("hub"), "n"))
-    # only texts that share a key are shuffled by their hash
-    nodes = members.select(F.col("own").alias("node")).distinct()
+    # only texts that share a key or are linked are shuffled by their hash
+    nodes = members.select(F.col("own").alias("node")).unionByName(copies.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     held = checkpoint(docs.select("own", "text").join(nodes.hint("shuffle_hash"), F.col("own") == F.col("node"), "left_semi").dropDuplicates(["own"]))
+    links = checkpoint(_verified(copies, held, shingle, least))
+    group = components(links)
     edges = members.filter("own != hub").select(F.least("own", "hub").alias("a"), F.greatest("own", "hub").alias("b")).distinct()
-    labels = components(_verified(edges, held, shingle, least))
+    for end in ("a", "b"):
+        edges = edges.join(group.select(F.col("node").alias(end), F.col("label").alias(f"group_{end}")), end, "left")
+    edges = edges.filter("not (group_a <=> group_b) or group_a is null").select("a", "b")
+    labels = components(links.unionByName(_verified(edges, held, shingle, least)))
     more = components(_settled(members.filter("n > 2"), labels, held, shingle, least)).select(F.col("node").alias("group"), F.col("label").alias("whole"))
     joined = labels.join(more, F.col("label") == F.col("group"), "left").select("node", F.coalesce("whole", "label").alias("label"))
     alone = more.join(labels, F.col("group") == F.col("node"), "left_anti").select(F.col("group").alias("node"), F.col("whole").alias("label"))
@@ -378,7 +411,7 @@ def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> Data
 def keep_first(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the first by doc_id, then by text; all columns stay.
 
-    Rows that are equal in id and text count as one document.
+    Groups are those of ``similar_texts``: SimHash, then bands, verified exactly. Rows that are equal in id and text count as one document.
     """
     p = prefix_for(docs.columns)
     own, last_id, last_own = f"{p}own", f"{p}id", f"{p}last"

@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 
+import pyarrow as pa
+
 import corpus_pipeline as P
 from refinery.llm import simhash
 from refinery.llm.mix import mix, take
@@ -159,3 +161,33 @@ def test_column_names_that_are_used_on_the_way(spark):
         assert out.columns == docs.columns
         got = out.collect()
         assert got and all(tuple(r) == rows[r[0]] for r in got)
+
+
+def near_copies(n=40, seed=9):
+    """Texts of 400 words, each with a copy that differs in one word."""
+    rng, rows = random.Random(seed), []
+    for k in range(n):
+        w = [f"w{k}_{rng.randrange(10**6)}" for _ in range(400)]
+        v = list(w)
+        v[rng.randrange(400)] = "other"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    return rows
+
+
+def test_simhash_finds_near_copies_by_itself(spark, monkeypatch):
+    rows = near_copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_first(docs).collect()} == plain_groups(rows)
+    monkeypatch.setattr(simhash, "bands_for", lambda least: 0)
+    got = {r.doc_id for r in simhash.keep_first(docs).collect()}
+    want = plain_groups(rows)
+    assert want <= got and len(got - want) <= 0.1 * len(want)  # a word's change turns four bits or fewer, but for a few
+
+
+def test_fingerprints_of_shingles_bit_by_bit():
+    rng = random.Random(10)
+    texts = pa.array(["", "one two", None, "a b c d e", *(" ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(1, 300))) for _ in range(30))])
+    g, first = simhash.shingle_hashes(texts, 5)
+    want = [sum(1 << k for k in range(64) if 2 * sum(int(h) >> k & 1 for h in g[a:b]) > b - a) for a, b in zip(first, first[1:], strict=False)]
+    assert simhash.shingle_prints(texts, 5).tolist() == want
+    assert simhash.shingle_prints(texts.slice(0, 0), 5).tolist() == []
