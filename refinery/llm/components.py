@@ -9,8 +9,8 @@ together handle few more rows than the first. The names of the rounds are
 composed backwards at the end. The joins are on narrow rows (Spark splits a
 hot node's rows), the minima combine before the shuffle, and each round ends
 in a reliable checkpoint, so a lost executor costs one round at most. Once so
-few edges are left that their size is nothing, the driver joins them: a round
-costs it more memory, by plans and tasks, than the edges themselves.
+few edges are left that their size is nothing, the driver joins them, which
+spares it the plans and tasks of further rounds.
 """
 
 from __future__ import annotations
